@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from retort.llm import chat_format, quality_rules, secret_scan
+from retort.llm import chat_format, language_id, pii, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op8_pii": pii.op8_pii,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
