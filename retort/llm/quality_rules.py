@@ -147,13 +147,14 @@ def learn_rules(rows: list[tuple[dict[str, float], int]], most_rules: int = 12,
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """The decision list of at most fit_rows labelled documents that pass the base rules or not alike."""
+    """The decision list learned from those of at most fit_rows labelled documents that pass the base rules."""
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("k"), (F.col("quality") == 0).cast("int").alias("bad"))
     some = some.orderBy(F.xxhash64("k"), "k", "bad").limit(fit_rows)  # bounded: this side is broadcast
     known = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("k"))
     stats = text_statistics(known.select(F.struct("k", "bad").alias("doc_id"), "text"))
-    rows = stats.where(~base_failed()).select("doc_id.bad", "doc_id.k", *features()).collect()
-    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["k"] * 2654435761 % (1 << 32), r["bad"]))
+    # base_failed is applied here: as a filter it would move below the join and take the statistics of every document
+    rows = stats.select("doc_id.bad", "doc_id.k", base_failed().alias("failed"), *features()).collect()
+    rows = sorted((r.asDict() for r in rows if not r.failed), key=lambda r: (r["k"] * 2654435761 % (1 << 32), r["bad"]))
     return learn_rules([(r, r["bad"]) for r in rows])
 
 
