@@ -107,13 +107,13 @@ def near_pairs(fps: DataFrame) -> DataFrame:
 
 
 def link_classes(fps: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> fp, component_id: one row for each distinct fingerprint."""
+    """(doc_id, fp) -> fp, part (a fingerprint of the component), component_id: one row for each distinct fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     links = near_pairs(classes.select("fp"))
     parts = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     least = known.groupBy(F.col("part").alias("p")).agg(F.min("rep").alias("component_id"))
-    return known.join(least, F.col("part") == F.col("p")).select("fp", "component_id")
+    return known.join(least, F.col("part") == F.col("p")).select("fp", "part", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -123,6 +123,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(parts, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies."""
+    temp = [c for c in ("__fp", "__key", "__id", "__k") if c in docs.columns]
+    if temp:
+        raise ValueError(f"columns reserved: {temp}")
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    fps = checkpoint(fingerprints(docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))), "__id", text_col, words))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("best"))
+    parts = link_classes(fps.select(F.col("doc_id.id").alias("doc_id"), "fp")).select(F.col("fp").alias("f"), "part")
+    kept = least.join(parts, F.col("fp") == F.col("f")).groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
+    rows = docs.withColumn("__key", key).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return rows.dropDuplicates([id_col, "__key"]).drop("__key")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
