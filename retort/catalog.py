@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from retort.operators import similarity
+from retort.operators import similarity, splits, stats
 
 FLAGSHIP = "tanimoto_pairs"
-QUERIES = {**similarity.QUERIES}
-ORACLE_SQL = {**similarity.ORACLE_SQL}
+QUERIES, ORACLE_SQL = {}, {}
+for _m in (similarity, splits, stats):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL

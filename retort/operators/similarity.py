@@ -1,52 +1,248 @@
-"""Tanimoto similarity over packed bit vectors and sparse count vectors."""
+"""Tanimoto similarity over fingerprints: all pairs above a threshold, similarity to a training set, nearest neighbours.
+
+A fingerprint is an array of set bit positions (``bits``, ascending) or, for counts, a map from position to count. Sparse
+counts follow ``dot / (sum a + sum b - dot)`` with 0 where the denominator is 0, so an empty fingerprint is similar
+to nothing, itself included.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Rows of the smaller side that one broadcast may hold; beyond, the work is done block by block.
+BLOCK_ROWS = 4096
 
 
 def sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as fingerprints: bit k is set where component k is positive. -> row_id, bits (array of set positions)."""
+    """embeddings as fingerprints: bit k is set where component k is positive. -> row_id, bits, label."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     on = F.filter(F.transform("embedding", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
-    return e.select(F.col("vec_id").alias("row_id"), on.alias("bits"))
+    return e.select(F.col("vec_id").alias("row_id"), on.alias("bits"), "label")
+
+
+def tanimoto(a: Column, b: Column) -> Column:
+    """Of two bit arrays; 0 for two empty ones."""
+    both, total = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(total > both, both / (total - both)).otherwise(F.lit(0.0))
 
 
-def with_length_prefix(fps: DataFrame, threshold: float) -> DataFrame:
-    """Prefix filter of exact set-similarity joins: two sets of similarity >= t share one of the first n - ceil(t*n) + 1
-    elements of a common order. -> row_id, bits, n, prefix element."""
+def tanimoto_counts(a: Column, b: Column) -> Column:
+    """Of two maps position -> count, by the sparse kernel's formula (L1 sums)."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x * y, F.lit(0)).cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    below = total(a) + total(b) - dot
+    return F.when(below == 0, F.lit(0.0)).otherwise(dot / below)
+
+
+def _prefixes(fps: DataFrame, threshold: float) -> DataFrame:
     n = F.size("bits")
     keep = (n - F.ceil(n * F.lit(threshold)) + 1).cast("int")
     return fps.where(n > 0).select("row_id", "bits", n.alias("n"), F.explode(F.slice("bits", F.lit(1), keep)).alias("token"))
 
 
 def tanimoto_pairs(fps: DataFrame, threshold: float) -> DataFrame:
-    """All pairs a < b with Tanimoto >= threshold > 0, by prefix and length filters and an exact check.
+    """All pairs a < b with Tanimoto >= threshold > 0. -> a, b, sim.
 
-    -> a, b, sim. Two empty fingerprints have similarity 0 and never pair.
+    Prefix filter: two sets of similarity t or more share one of the first ``n - ceil(t n) + 1`` elements of a common
+    order, so an equi-join on those finds every pair; sizes must agree within t. A pair is kept at the first
+    element it shares, which needs no distinct.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    l, r = with_length_prefix(fps, threshold).alias("l"), with_length_prefix(fps, threshold).alias("r")
+    l, r = _prefixes(fps, threshold).alias("l"), _prefixes(fps, threshold).alias("r")
     near = (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
     j = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.row_id") < F.col("r.row_id")) & near)
-    both = F.size(F.array_intersect("l.bits", "r.bits"))
-    # a pair that shares several prefix elements is kept at the first of them only: no distinct, no further shuffle
-    first = F.element_at(F.array_intersect("l.bits", "r.bits"), 1) == F.col("l.token")
-    j = j.where(first).select(F.col("l.row_id").alias("a"), F.col("r.row_id").alias("b"), (both / (F.col("l.n") + F.col("r.n") - both)).alias("sim"))
+    shared = F.array_intersect("l.bits", "r.bits")
+    j = j.select(F.col("l.row_id").alias("a"), F.col("r.row_id").alias("b"), F.col("l.token").alias("token"), (F.col("l.n") + F.col("r.n")).alias("n"), shared.alias("s"))
+    j = j.where(F.element_at("s", 1) == F.col("token")).select("a", "b", (F.size("s") / (F.col("n") - F.size("s"))).alias("sim"))
     return j.where(F.col("sim") >= threshold)
 
 
+def self_similarity(fps: DataFrame, distance: bool = False) -> DataFrame:
+    """Of all ordered pairs: see to_training."""
+    return to_training(fps, fps, distance)
+
+
+def to_training(queries: DataFrame, training: DataFrame, distance: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The whole similarity (or distance) matrix in long form: q_id, t_id, value.
+
+    The result has rows(queries) * rows(training) rows by definition. A training side of at most block_rows is broadcast;
+    a larger one is dealt into blocks, and queries meet each block by an equi-join on its number.
+    """
+    q = queries.select(F.col("row_id").alias("q_id"), F.col("bits").alias("q_bits"))
+    t = training.select(F.col("row_id").alias("t_id"), F.col("bits").alias("t_bits"))
+    n = t.limit(block_rows + 1).count()
+    if n <= block_rows:
+        j = q.crossJoin(F.broadcast(t))
+    else:
+        blocks = -(-t.count() // block_rows)
+        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        j = q.join(t.withColumn("block", F.pmod(F.xxhash64("t_id"), F.lit(blocks)).cast("int")), "block")
+    sim = tanimoto(F.col("q_bits"), F.col("t_bits"))
+    return j.select("q_id", "t_id", (1 - sim if distance else sim).alias("value"))
+
+
+def _packed(rows: list, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), max(1, (width + 63) // 64)), np.uint64)
+    for i, bits in enumerate(rows):
+        for b in bits:
+            out[i, b >> 6] |= np.uint64(1 << (b & 63))
+    return out
+
+
+def tanimoto_knn(queries: DataFrame, targets: DataFrame, k: int | None, n_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k most similar targets of each query: q_id, rank (from 1), t_id, similarity.
+
+    Ties: k = 1 takes the least id, any other k the greatest first, as the three code paths of the original do. k is capped at the number
+    of targets; None means all. Queries go out in blocks of bounded size, each partition of targets keeps its own k best, and only
+    those meet in a window: no pair of a query and a far target is ever shuffled.
+    """
+    n_targets = targets.count()
+    k = n_targets if k is None else min(k, n_targets)
+    if k < 1:
+        raise ValueError("k must be positive and there must be targets")
+    down = k > 1
+    q = queries.select("row_id", "bits").orderBy("row_id")
+    sc, out = queries.sparkSession.sparkContext, None
+    n_blocks = max(1, -(-queries.count() // block_rows))
+    for i in range(n_blocks):
+        block = (q.where(F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else q).collect()
+        shared = sc.broadcast(([r.row_id for r in block], _packed([r.bits for r in block], n_bits)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, words = shared.value
+            n_q = np.bitwise_count(words).sum(1).astype(np.int64)
+            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            for b in batches:
+                t_ids = np.array(b.column(0).to_pylist(), np.int64)
+                t = _packed(b.column(1).to_pylist(), n_bits)
+                n_t = np.bitwise_count(t).sum(1).astype(np.int64)
+                for j in range(len(ids)):
+                    both = np.bitwise_count(t & words[j]).sum(1).astype(np.int64)
+                    below = n_t + n_q[j] - both
+                    sim = np.where(below > 0, both / np.maximum(below, 1), 0.0)
+                    pick = np.lexsort((-t_ids if down else t_ids, -sim))[:k]
+                    best[j] = sorted([*best[j], *zip(sim[pick].tolist(), t_ids[pick].tolist())], key=lambda x: (-x[0], -x[1] if down else x[1]))[:k]
+            rows = [(i, t, s) for i, found in zip(ids, best) for s, t in found]
+            a, b2, c = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b2, pa.int64()), pa.array(c, pa.float64())], ["q_id", "t_id", "similarity"])
+
+        part = targets.select("row_id", "bits").mapInArrow(run, "q_id long, t_id long, similarity double")
+        out = part if out is None else out.union(part)
+    w = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.desc("t_id") if down else F.asc("t_id"))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "rank", "t_id", "similarity")
+
+
+def _pair_sum(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    return 1 - _pair_sum(a, b, lambda x, y: x * y) / F.sqrt(_pair_sum(a, a, lambda x, y: x * y) * _pair_sum(b, b, lambda x, y: x * y))
+
+
+#: Distances of two equally long numeric arrays.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "euclidean": lambda a, b: F.sqrt(_pair_sum(a, b, lambda x, y: (x - y) * (x - y))),
+    "l2": lambda a, b: F.sqrt(_pair_sum(a, b, lambda x, y: (x - y) * (x - y))),
+    "sqeuclidean": lambda a, b: _pair_sum(a, b, lambda x, y: (x - y) * (x - y)),
+    "manhattan": lambda a, b: _pair_sum(a, b, lambda x, y: F.abs(x - y)),
+    "cityblock": lambda a, b: _pair_sum(a, b, lambda x, y: F.abs(x - y)),
+    "l1": lambda a, b: _pair_sum(a, b, lambda x, y: F.abs(x - y)),
+    "chebyshev": lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: F.greatest(s, v)),
+    "cosine": _cosine,
+    "hamming": lambda a, b: _pair_sum(a, b, lambda x, y: (x != y).cast("double")) / F.size(a),
+    "jaccard": lambda a, b: 1 - _pair_sum(a, b, lambda x, y: ((x != 0) & (y != 0)).cast("double")) / _pair_sum(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("double")),
+    "canberra": lambda a, b: _pair_sum(a, b, lambda x, y: F.coalesce(F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y)), F.lit(0.0))),
+}
+
+
+def named_neighbors(queries: DataFrame, targets: DataFrame, n_neighbors: int = 5, metric: str | Callable[[Column, Column], Column] = "euclidean", vector_col: str = "vector", name_col: str = "name") -> DataFrame:
+    """The names of the nearest targets: q_id, rank, name, distance; ties to the least target id.
+
+    Targets must fit one broadcast block (checked); tanimoto_knn has no such bound.
+    """
+    f = METRICS.get(metric) if isinstance(metric, str) else metric
+    if f is None:
+        raise ValueError(f"unknown metric {metric!r}; known: {sorted(METRICS)}")
+    if targets.limit(BLOCK_ROWS * 16 + 1).count() > BLOCK_ROWS * 16:
+        raise ValueError("too many targets for a broadcast")
+    q = queries.select(F.col("row_id").alias("q_id"), F.col(vector_col).alias("q_v"))
+    t = targets.select(F.col("row_id").alias("t_id"), F.col(vector_col).alias("t_v"), F.col(name_col).alias("name"))
+    d = q.crossJoin(F.broadcast(t)).select("q_id", "t_id", "name", f(F.col("q_v"), F.col("t_v")).alias("distance"))
+    # the k best of a query are kept while grouping; no task sorts the pairs of a query
+    w = Window.partitionBy("q_id").orderBy("distance", "t_id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_neighbors).select("q_id", "rank", "name", "distance")
+
+
 def q_tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tanimoto_pairs(sign_bits(spark, sf_dir), 0.5).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-QUERIES = {"tanimoto_pairs": q_tanimoto_pairs}
+def q_to_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = sign_bits(spark, sf_dir)
+    return to_training(f.where("row_id % 50 = 1"), f.where("row_id % 50 = 0"), True).select("q_id", "t_id", F.round("value", 6).alias("value"))
+
+
+def _q_knn(k: int):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = sign_bits(spark, sf_dir)
+        return tanimoto_knn(f, f, k, 64).select("q_id", F.col("rank").cast("long").alias("rank"), "t_id", F.round("similarity", 6).alias("similarity"))
+
+    return q
+
+
+def _q_named(metric: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label").alias("name"))
+        d = named_neighbors(e.where("row_id % 50 = 0"), e, 3, metric)
+        return d.select("q_id", F.col("rank").cast("long").alias("rank"), "name", F.round("distance", 4).alias("distance"))
+
+    return q
+
+
+def q_count_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as count fingerprints of their lines' part size class, each order against the next."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 16).cast("int").alias("bit"))
+    fp = li.groupBy("l_orderkey", "bit").agg(F.count("*").cast("int").alias("n")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("bit", "n"))).alias("fp"))
+    nxt = fp.select((F.col("l_orderkey") - 1).alias("k"), F.col("fp").alias("g"))
+    return fp.join(nxt, F.col("l_orderkey") == F.col("k")).select("l_orderkey", F.round(tanimoto_counts(F.col("fp"), F.col("g")), 6).alias("sim"))
+
+
+QUERIES = {
+    "tanimoto_pairs": q_tanimoto_pairs, "tanimoto_to_training": q_to_training, "tanimoto_knn_1": _q_knn(1), "tanimoto_knn_3": _q_knn(3),
+    "count_similarity": q_count_similarity, **{f"named_neighbors_{m}": _q_named(m) for m in ("euclidean", "manhattan", "chebyshev", "cosine")},
+}
 _BITS = """
 WITH f AS (SELECT vec_id AS row_id, list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] > 0 THEN i - 1 END), lambda i: i IS NOT NULL) AS bits FROM embeddings),
-u AS (SELECT row_id, unnest(bits) AS bit FROM f), n AS (SELECT row_id, count(*) AS n FROM u GROUP BY row_id),
+u AS (SELECT row_id, unnest(bits) AS bit FROM f), n AS (SELECT row_id, len(bits) AS n FROM f),
 o AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS o FROM u x JOIN u y USING (bit) GROUP BY 1, 2),
-s AS (SELECT a, b, o / (x.n + y.n - o) AS sim FROM o JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b)
+s AS (SELECT x.row_id AS a, y.row_id AS b, CASE WHEN x.n + y.n = 0 THEN 0.0 ELSE coalesce(o, 0) / (x.n + y.n - coalesce(o, 0)) END AS sim
+      FROM n x CROSS JOIN n y LEFT JOIN o ON o.a = x.row_id AND o.b = y.row_id)
+"""
+_KNN = _BITS + "SELECT * FROM (SELECT a AS q_id, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b {0}) AS rank, b AS t_id, round(sim, 6) AS similarity FROM s) WHERE rank <= {1}"
+_NAMED = """
+WITH p AS (SELECT x.vec_id AS q_id, y.vec_id AS t_id, y.label AS name, x.embedding::DOUBLE[] AS u, y.embedding::DOUBLE[] AS v FROM embeddings x CROSS JOIN embeddings y WHERE x.vec_id % 50 = 0),
+d AS (SELECT q_id, t_id, name, {0} AS distance FROM p)
+SELECT q_id, rank, name, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, t_id) AS rank FROM d) WHERE rank <= 3
 """
-ORACLE_SQL = {"tanimoto_pairs": _BITS + "SELECT a, b, round(sim, 6) AS sim FROM s WHERE a < b AND sim >= 0.5"}
+_ZIP = "list_transform(range(1, len(u) + 1), lambda i: abs(u[i] - v[i]))"
+ORACLE_SQL = {
+    "tanimoto_pairs": _BITS + "SELECT a, b, round(sim, 6) AS sim FROM s WHERE a < b AND sim >= 0.5",
+    "tanimoto_to_training": _BITS + "SELECT a AS q_id, b AS t_id, round(1 - sim, 6) AS value FROM s WHERE a % 50 = 1 AND b % 50 = 0",
+    "tanimoto_knn_1": _KNN.format("ASC", 1), "tanimoto_knn_3": _KNN.format("DESC", 3),
+    "count_similarity": """
+WITH c AS (SELECT l_orderkey AS k, l_partkey % 16 AS bit, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT k, sum(n) AS s FROM c GROUP BY k),
+d AS (SELECT x.k, sum(x.n * y.n) AS dot FROM c x JOIN c y ON y.k = x.k + 1 AND x.bit = y.bit GROUP BY x.k)
+SELECT a.k AS l_orderkey, round(CASE WHEN a.s + b.s - coalesce(dot, 0) = 0 THEN 0.0 ELSE CAST(coalesce(dot, 0) AS DOUBLE) / (a.s + b.s - coalesce(dot, 0)) END, 6) AS sim
+FROM t a JOIN t b ON b.k = a.k + 1 LEFT JOIN d ON d.k = a.k""",
+    "named_neighbors_euclidean": _NAMED.format(f"sqrt(list_sum(list_transform({_ZIP}, lambda x: x * x)))"),
+    "named_neighbors_manhattan": _NAMED.format(f"list_sum({_ZIP})"), "named_neighbors_chebyshev": _NAMED.format(f"list_max({_ZIP})"),
+    "named_neighbors_cosine": _NAMED.format("1 - list_cosine_similarity(u, v)"),
+}
