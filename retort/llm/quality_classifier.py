@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from retort.llm.common import table
 
-GRADES, BUCKETS, FIT_ROWS, LEAST_DOCS = 3, 1 << 18, 8000, 5
+GRADES, BUCKETS, FIT_ROWS, LEAST_DOCS = 3, 1 << 18, 6000, 5
 LEAST_Z, LEAST_LOG_ODDS, KEEP_SHARE = 4.0, 2.5, 0.97
-FEATURE_WORDS = 20_000  # distinct words of one text that the fit takes; scoring takes all
+FIT_BUCKETS = 20_000  # of one text, at most, in the fit (a bound of the driver's memory); scoring takes all
 
 
 def _bucket(kind: str, s: str) -> int:
@@ -49,10 +49,12 @@ def word_features(word: str) -> tuple[int, int, int]:
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(summed buckets: words and beginnings, averaged buckets: shapes and the text's own)."""
+    """(distinct buckets, values): words and beginnings count, shapes average, the text's own are one."""
     words = (text or "").split()
     some = [word_features(w) for w in dict.fromkeys(words)]
-    return np.array([x for w in some for x in w[:2]], np.int32), np.array([w[2] for w in some] + _whole(words, len(some)) * max(1, len(some)), np.int32)
+    parts = [np.unique(np.array(x, np.int32), return_counts=True) for x in ([x for w in some for x in w[:2]], [w[2] for w in some], _whole(words, len(some)))]
+    values = [n / (max(1, len(some)) if k == 1 else 1) for k, (_, n) in enumerate(parts)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate(values).astype(np.float32)
 
 
 def _whole(words: list[str], distinct: int) -> list[int]:
@@ -77,14 +79,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 20
     if len(set(y.tolist())) < 2:
         g = int(y[0]) if len(y) else GRADES - 1
         return Model(np.zeros(BUCKETS), tuple(-50.0 if k < g else 50.0 for k in range(GRADES - 1)))
-    idx = np.concatenate([np.concatenate([a, b]) for a, b, _ in rows])
-    val = np.concatenate([np.concatenate([np.ones(len(a)), np.full(len(b), 1 / max(1, len(b)))]) for a, b, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(a) + len(b) for a, b, _ in rows])
-    pairs = np.unique(owner.astype(np.int64) * BUCKETS + idx)
-    seen, lower = np.bincount(pairs % BUCKETS, minlength=BUCKETS), np.zeros(BUCKETS, bool)
+    idx, val = np.concatenate([a for a, _, _ in rows]), np.concatenate([b for _, b, _ in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _, _ in rows])
+    seen, lower = np.bincount(idx, minlength=BUCKETS), np.zeros(BUCKETS, bool)
     for k in range(GRADES - 1):
         p = min(max(float((y <= k).mean()), 1e-9), 1 - 1e-9)
-        low = np.bincount((pairs % BUCKETS)[y[pairs // BUCKETS] <= k], minlength=BUCKETS)
+        low = np.bincount(idx[(y <= k)[owner]], minlength=BUCKETS)
         z, share = (low - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9)), (low + p) / (seen + 1)
         lower |= (z >= LEAST_Z) & (np.log(share / (1 - share)) - math.log(p / (1 - p)) >= LEAST_LOG_ODDS)
     keep = (lower & (seen >= LEAST_DOCS))[idx]
@@ -136,11 +136,8 @@ class Scorer:
         words = (text or "").split()
         distinct, get, slow = set(words), self.known.get, self._word
         parts = [get(w) or slow(w) for w in distinct]
-        w, n = self.model.weights, max(1, len(parts))
-        whole = sum(float(w[b]) for b in _whole(words, len(parts)))
-        # the averaged part divides by its number of entries: one a word, and two of the text for each word
-        entries = len(parts) + 2 * n
-        return math.fsum(p[0] for p in parts) + (math.fsum(p[1] for p in parts) + whole * n) / entries
+        whole = sum(float(self.model.weights[b]) for b in _whole(words, len(parts)))
+        return math.fsum(p[0] for p in parts) + math.fsum(p[1] for p in parts) / max(1, len(parts)) + whole
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -153,13 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for b in batches:
             found = [text_features(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([a[: 2 * FEATURE_WORDS].tobytes() for a, _ in found], pa.binary()), pa.array([s[: 3 * FEATURE_WORDS].tobytes() for _, s in found], pa.binary())],
-                ["k", "grade", "summed", "averaged"])
+                [b.column(0), b.column(1), pa.array([x[:FIT_BUCKETS].tobytes() for x, _ in found], pa.binary()), pa.array([v[:FIT_BUCKETS].tobytes() for _, v in found], pa.binary())],
+                ["k", "grade", "buckets", "vals"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = known.mapInArrow(run, f"k {kind}, grade int, summed binary, averaged binary").collect()
-    rows = sorted(rows, key=lambda r: (r.k, r.grade, bytes(r.summed)))
-    return fit_ordinal([(np.frombuffer(bytes(r.summed), np.int32), np.frombuffer(bytes(r.averaged), np.int32), r.grade) for r in rows])
+    rows = [(r.k, r.grade, bytes(r.buckets), bytes(r.vals)) for r in known.mapInArrow(run, f"k {kind}, grade int, buckets binary, vals binary").collect()]
+    return fit_ordinal([(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32), g) for _, g, x, v in sorted(rows)])
 
 
 _SCORERS: dict[tuple, Scorer] = {}
