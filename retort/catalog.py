@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from retort.operators import similarity, splits, stats
+from retort.operators import cluster, conformal, similarity, splits, stats
 
 FLAGSHIP = "tanimoto_pairs"
 QUERIES, ORACLE_SQL = {}, {}
-for _m in (similarity, splits, stats):
+for _m in (similarity, splits, stats, conformal, cluster):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
