@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding with N-best segmentation over the piece lattice.
 
-Forward: Viterbi gives every position the best score of the text before it. Backward: A* from the end, whose heuristic
+Forward: Viterbi gives every position the best (and, to weigh words against each other, the second best) score of the text before it. Backward: A* from the end, whose heuristic
 is that very score, hence exact: segmentations leave the queue in order of their whole score, and nothing is
 expanded that is not part of one of the N best (or ties with them).
 
 No piece of the model crosses from letters to other characters or back, from either into a blank, or holds a line feed,
 which is checked when it is loaded, so the lattice of a text is a chain of the lattices of its words. Words are solved once
-a worker (a bounded cache of two generations) and the N best of the chain come from the least losses of its words by one
+a worker (a bounded table, of which the less used part goes when it is full) and the N best of the chain come from the least losses of its words by one
 more best-first search.
 
 Scores: a unigram model's own; a BPE model holds merge ranks r instead, taken as ``-ln(r + 2)``, which is Zipf's law
@@ -28,6 +28,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ N_BEST, CACHED_WORDS = 3, 500_000
 BLANK = "\u2581"
 #: Blanks with the letters, or with the other characters, that follow; the boundaries that no piece crosses.
 _RAISED = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"  # digits that the expression would count as letters
-_CHUNK = re.compile(rf"{BLANK}*[^\W\d_{_RAISED}]+|{BLANK}*(?:[^\w{BLANK}\n]|[\d_{_RAISED}])+|{BLANK}+|\n")
+_CHUNK = re.compile(rf" *[^\W\d_{_RAISED}]+| *(?:[^\w \n]|[\d_{_RAISED}])+| +|\n")
 
 
 class Pieces:
@@ -52,14 +53,15 @@ class Pieces:
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         ranks = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in normal)
         self.score = {sp.id_to_piece(i): (-math.log(2 - scores[i]) if ranks else scores[i], i) for i in normal}
-        if any(len(_CHUNK.findall(p)) != 1 for p in self.score):
+        if any(len(_CHUNK.findall(p.replace(BLANK, " "))) != 1 for p in self.score):
             raise ValueError("a piece crosses a boundary; the lattice is not a chain of words")
-        #: Every beginning of a piece: its own (score, ids) or, if it is none itself, False.
-        self.begins: dict[str, tuple[float, tuple[int, ...]] | bool] = {}
-        for p, (x, i) in self.score.items():
-            self.begins[p] = (x, (i,))
-            for k in range(1, len(p)):
-                self.begins.setdefault(p[:k], False)
+        #: A trie of the pieces: by character (its node, score, ids), where score is None if no piece ends there.
+        self.trie: dict[str, tuple[dict, float | None, tuple[int, ...]]] = {}
+        for p in sorted(self.score):
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None, ()))[0]
+            node[p[-1]] = ({}, self.score[p][0], (self.score[p][1],))
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_score = min((s for s, _ in self.score.values()), default=0.0) - 10.0
         self.bytes_of = [b""] * n
@@ -68,91 +70,147 @@ class Pieces:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
 
-    def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score, ids) of the n best segmentations, best first (fewer if there are no more)."""
-        end, begins = len(word), self.begins
-        edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(end + 1)]
-        best = [0.0] + [-math.inf] * end
+    def forward(self, word: str, edges: list[list] | None = None) -> tuple[list[tuple], list[float], float]:
+        """Viterbi: by position the edge (start, score, ids) that its best score ends with; the best scores; the second best of the whole.
+
+        edges, if given, gets every edge of the lattice by its end.
+        """
+        end, trie = len(word), self.trie
+        best, second = [0.0] + [-math.inf] * end, [-math.inf] * (end + 1)
+        first: list[tuple] = [()] * (end + 1)
         for i in range(end):
-            before = best[i]
-            for j in range(i + 1, end + 1):
-                found = begins.get(word[i:j])
-                if found:
-                    edges[j].append((i, *found))
-                    if before + found[0] > best[j]:
-                        best[j] = before + found[0]
-                elif found is None:
+            node, j, before, less, alone = trie, i, best[i], second[i], False
+            for c in word[i:]:
+                step = node.get(c)
+                if step is None:
                     break
-            if not begins.get(word[i]):
+                j += 1
+                node, score, ids = step
+                if score is None:
+                    continue
+                alone |= j == i + 1
+                new = before + score
+                if edges is not None:
+                    edges[j].append((i, score, ids))
+                old = best[j]
+                if new > old:
+                    best[j], first[j] = new, (i, score, ids)
+                    new = less + score
+                    second[j] = old if old > new else new
+                elif new > second[j]:
+                    second[j] = new
+            if not alone:
                 ids = tuple(self.byte[b] for b in word[i].encode("utf-8", "surrogatepass"))
-                edges[i + 1].append((i, self.byte_score * len(ids), ids))
-                best[i + 1] = max(best[i + 1], before + self.byte_score * len(ids))
-        out, order = [], 0
-        queue: list[tuple] = [(-best[end], 0, end, 0.0, ())]
-        pop, push = heapq.heappop, heapq.heappush
-        while queue:
-            _, _, at, after, path = pop(queue)
-            if at == 0:
-                ids = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                out.append((after, tuple(ids)))
-                if len(out) == n:
-                    break
-                continue
-            for i, s, ids in edges[at]:
-                order += 1
-                push(queue, (-(best[i] + s + after), order, i, s + after, (ids, path)))
-        return out
+                edge = (i, self.byte_score * len(ids), ids)
+                if edges is not None:
+                    edges[i + 1].append(edge)
+                new, old = before + edge[1], best[i + 1]
+                if new > old:
+                    best[i + 1], first[i + 1], second[i + 1] = new, edge, max(old, less + edge[1])
+                elif new > second[i + 1]:
+                    second[i + 1] = new
+        return first, best, second[end]
+
+    def best_and_loss(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """(ids, score) of the best segmentation, and what the second best loses (infinite if there is none)."""
+        first, best, second = self.forward(word)
+        at, path = len(word), ()
+        while at:
+            at, _, ids = first[at]
+            path = ids + path
+        return path, best[-1], best[-1] - second
+
+    def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """(score, ids) of the n best segmentations, best first (fewer if there are no more)."""
+        end = len(word)
+        edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(end + 1)]
+        first, best, _ = self.forward(word, edges)
+        # A*: the heuristic is exact, so a node taken from the queue is followed along its best edges at once (they have
+        # its own score and would be taken next); the other edges on the way are queued by the score of the whole
+        out: list[tuple[float, tuple[int, ...]]] = []
+        queue: list[tuple] = []
+        order, at, after, path = 0, end, 0.0, ()
+        while True:
+            while at:
+                take = first[at]
+                if len(out) + 1 < n:
+                    for edge in edges[at]:
+                        if edge != take:
+                            order += 1
+                            heapq.heappush(queue, (-(best[edge[0]] + edge[1] + after), order, edge[0], edge[1] + after, (edge[2], path)))
+                path, after, at = (take[2], path), after + take[1], take[0]
+            ids = []
+            while path:
+                ids += path[0]
+                path = path[1]
+            out.append((after, tuple(ids)))
+            if len(out) == n or not queue:
+                return out
+            _, _, at, after, path = heapq.heappop(queue)
 
 
 class Encoder:
-    """Encode with per-word results cached in two generations, so memory is bounded and frequent words stay."""
+    """Encodes whole texts. Words solved before are looked up by number; their scores, losses and ids stand in flat arrays.
+
+    The table holds about ``cached`` words between texts: when it is full, those used in few texts go.
+    """
 
     def __init__(self, pieces: Pieces, n_best: int = N_BEST, cached: int = CACHED_WORDS):
-        self.pieces, self.n, self.half = pieces, n_best, max(1, cached // 2)
-        self.new: dict[str, tuple[bytes, float, float]] = {}
-        self.old: dict[str, tuple[bytes, float, float]] = {}
-
-    def _word(self, word: str) -> tuple[bytes, float, float]:
-        """-> ids as bytes, score, loss of the second segmentation (infinite if there is none)."""
-        got = self.old.get(word)
-        if got is None:
-            (score, ids), *more = self.pieces.n_best(word, 2)
-            got = (array("i", ids).tobytes(), score, score - more[0][0] if more else math.inf)
-        if len(word) <= 64:
-            if len(self.new) >= self.half:
-                self.old, self.new = self.new, {}
-            self.new[word] = got
-        return got
-
-    def encode(self, text: str | None) -> list[tuple[float, bytes]]:
-        """(score, ids as native 32-bit integers) of the n best segmentations of the whole text."""
+        self.pieces, self.n, self.cached = pieces, n_best, max(2, cached)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}  # from 1
+        self.score, self.loss, self.at, self.size, self.pool = array("d", [0.0]), array("d", [math.inf]), array("i", [0]), array("i", [0]), array("i")
+        self.uses = np.zeros(1, np.int32)
+
+    def _solve(self, word: str) -> int:
+        if word in self.number:  # met twice in one text
+            return self.number[word]
+        self._append(word, *self.pieces.best_and_loss(word.replace(" ", BLANK)))
+        return self.number[word]
+
+    def _append(self, word: str, ids: tuple[int, ...], score: float, loss: float) -> None:
+        self.number[word] = len(self.score)
+        self.score.append(score), self.loss.append(loss), self.at.append(len(self.pool)), self.size.append(len(ids)), self.pool.extend(ids)
+
+    def _forget(self) -> None:
+        """Keep the half of the words that most texts used (and no long ones, which hardly come again)."""
+        floor = int(np.partition(self.uses, len(self.uses) - self.cached // 2)[len(self.uses) - self.cached // 2])
+        old, kept = (self.score, self.loss, self.at, self.size, self.pool), [(w, i) for w, i in self.number.items() if self.uses[i] > floor and len(w) <= 64]
+        self._clear()
+        score, loss, at, size, pool = old
+        for w, i in kept:
+            self._append(w, pool[at[i] : at[i] + size[i]], score[i], loss[i])
+
+    def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
+        """(score, ids) of the n best segmentations of the whole text."""
         if not text:
-            return [(0.0, b"")]
-        get, slow = self.new.get, self._word
-        chunks = _CHUNK.findall(BLANK + text.replace(" ", BLANK))
-        words = [get(w) or slow(w) for w in chunks]
-        parts, scores, losses = zip(*words)
-        score, ids, losses = math.fsum(scores), b"".join(parts), list(losses)
+            return [(0.0, np.zeros(0, np.int32))]
+        if len(self.number) >= self.cached:
+            self._forget()
+        get, solve = self.number.get, self._solve
+        chunks = _CHUNK.findall(" " + text.replace(BLANK, " "))  # with blanks as spaces, words take half the memory
+        words = np.array([get(w) or solve(w) for w in chunks], np.int32)
+        if len(self.uses) < len(self.score):
+            self.uses = np.concatenate([self.uses, np.zeros(max(1 << 16, len(self.score) - len(self.uses)), np.int32)])
+        self.uses[words] += 1
+        size, loss = np.frombuffer(self.size, np.int32)[words], np.frombuffer(self.loss)[words]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(self.pool, np.int32)[np.arange(ends[-1]) + np.repeat(np.frombuffer(self.at, np.int32)[words] - (ends - size), size)]
+        score = math.fsum(np.frombuffer(self.score)[words])
         out = [(score, ids)]
-        least: list[int] = []  # only the words of the n - 1 least losses can take part
-        for _ in range(min(self.n - 1, len(losses))):
-            if (loss := min(losses)) == math.inf:
-                break
-            least.append(losses.index(loss))
-            losses[least[-1]] = math.inf
+        # only the words of the n - 1 least losses can take part in another one of the n best
+        few = min(self.n - 1, len(loss))
+        least = [] if few < 1 else sorted(i for i in np.argsort(loss, kind="stable")[:few].tolist() if loss[i] < math.inf)
         if least:
-            least.sort()
-            at = [sum(map(len, parts[:i])) for i in least]
-            choices = [self.pieces.n_best(chunks[i], self.n) for i in least]
-            for loss, choice in self._combine([[c[0][0] - s for s, _ in c] for c in choices]):
+            choices = [self.pieces.n_best(chunks[i].replace(" ", BLANK), self.n) for i in least]
+            for lost, choice in self._combine([[c[0][0] - s for s, _ in c] for c in choices]):
                 new, upto = [], 0
-                for i, a, c, k in zip(least, at, choices, choice):
-                    new += [ids[upto:a], array("i", c[k][1]).tobytes()]
-                    upto = a + len(parts[i])
-                out.append((score - loss, b"".join([*new, ids[upto:]])))
+                for i, c, k in zip(least, choices, choice):
+                    new += [ids[upto : ends[i] - size[i]], np.array(c[k][1], np.int32)]
+                    upto = ends[i]
+                out.append((score - lost, np.concatenate([*new, ids[upto:]])))
         return out
 
     def _combine(self, losses: list[list[float]]) -> list[tuple[float, tuple[int, ...]]]:
@@ -170,9 +228,9 @@ class Encoder:
                         heapq.heappush(queue, (math.fsum(x[j] for x, j in zip(losses, nxt)), nxt))
         return out[1:]
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         table = self.pieces.bytes_of
-        text = b"".join([table[i] for i in memoryview(ids).cast("i")]).decode("utf-8", "surrogatepass")
+        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")
         return text.replace(BLANK, " ")[1:]
 
 
@@ -205,15 +263,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 texts = [t.as_py() or "" for t in b.column(len(keep) + 1)]
                 found = [encoder.encode(t) for t in texts]
                 ids = [f[0][1] for f in found]
-                offsets = array("i", [0])
-                for i in ids:
-                    offsets.append(offsets[-1] + len(i) // 4)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-                second = [hashlib.sha256(f[1][1]).hexdigest() if len(f) > 1 else None for f in found]
-                same = [encoder.decode(i) == t.replace(BLANK, " ") if t else not i for i, t in zip(ids, texts)]
+                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                second = [hashlib.sha256(f[1][1].tobytes()).hexdigest() if len(f) > 1 else None for f in found]
+                same = [encoder.decode(i) == t.replace(BLANK, " ") if t else not len(i) for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[: len(keep) + 1], pa.array([len(i) // 4 for i in ids], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array([f[0][0] for f in found], pa.float64()),
+                    [*b.columns[: len(keep) + 1], pa.array([len(i) for i in ids], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array([f[0][0] for f in found], pa.float64()),
                      pa.array([[s for s, _ in f[1:]] for f in found], pa.list_(pa.float64())), pa.array(second, pa.string()), pa.array(same, pa.bool_())],
                     [*keep, "doc_id", "n_pieces", "piece_ids", "score", "next_scores", "alt_sha256", "round_trip"])
 
