@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from retort.operators import cluster, conformal, similarity, splits, stats
+from retort.plans import molecules
 
 FLAGSHIP = "tanimoto_pairs"
 QUERIES, ORACLE_SQL = {}, {}
-for _m in (similarity, splits, stats, conformal, cluster):
+for _m in (similarity, splits, stats, conformal, cluster, molecules):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
