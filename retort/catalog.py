@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from retort.operators import cluster, conformal, similarity, splits, stats
+from retort.operators import cluster, conformal, models, similarity, splits, stats
 from retort.plans import molecules
+from retort.streaming import streams
 
 FLAGSHIP = "tanimoto_pairs"
 QUERIES, ORACLE_SQL = {}, {}
-for _m in (similarity, splits, stats, conformal, cluster, molecules):
+for _m in (similarity, splits, stats, conformal, cluster, molecules, models, streams):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
