@@ -38,6 +38,7 @@ from retort.llm.common import buckets_for, table
 WIDTH, GRAM = 200, 20
 #: Bytes of text whose suffixes a task sorts at a time; of input by bucket of the exchange; that are hashed at a time.
 RUN_BYTES, BUCKET_BYTES, CHUNK_BYTES = 6 << 20, 2 << 20, 1 << 19
+LEVEL = 7  # of compression, of runs and of the texts that meet their answers
 _POS_BITS = 24  # positions inside a chunk; a text beyond that is cut into overlapping chunks
 
 
@@ -150,7 +151,7 @@ class RunWriter:
         if not self.items:
             return
         order = sorted(self.items)
-        at, pack = 0, zstandard.ZstdCompressor(level=3).compress
+        at, pack = 0, zstandard.ZstdCompressor(level=LEVEL).compress
         while at < len(order):
             head, end = order[at][0][:4], at
             while end < len(order) and order[end][0][:4] == head:
@@ -378,14 +379,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            done = [cut(d.as_py(), [(x["lo"], x["hi"]) for x in s.as_py() or ()]) for d, s in zip(b.column(1), b.column(2))]
+            texts = [unpack(d.as_py()) for d in b.column(1)]
+            done = [cut(d, [(x["lo"], x["hi"]) for x in s.as_py() or ()]) for d, s in zip(texts, b.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([k for k, _, _ in done], pa.binary()), pa.array([len(d.as_py()) for d in b.column(1)], pa.int64()),
+                [b.column(0), pa.array([k for k, _, _ in done], pa.binary()), pa.array([len(d) for d in texts], pa.int64()),
                  pa.array([n for _, n, _ in done], pa.int64()), pa.array([s for *_, s in done], pa.int64())],
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    both = rows.join(found, F.col("key") == F.col("k"), "left").select("doc_id", "data", "cut")
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(d.as_py()) for d in b.column(2)], pa.binary())], ["doc_id", "key", "data"])
+
+    packed = rows.mapInArrow(squeeze, f"doc_id {kind}, key binary, data binary")
+    both = packed.join(found, F.col("key") == F.col("k"), "left").select("doc_id", "data", "cut")
     return both.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
