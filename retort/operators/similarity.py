@@ -46,15 +46,28 @@ def _prefixes(fps: DataFrame, threshold: float) -> DataFrame:
     return fps.where(n > 0).select("row_id", "bits", n.alias("n"), F.explode(F.slice("bits", F.lit(1), keep)).alias("token"))
 
 
-def tanimoto_pairs(fps: DataFrame, threshold: float) -> DataFrame:
-    """All pairs a < b with Tanimoto >= threshold > 0. -> a, b, sim.
+def tanimoto_pairs(fps: DataFrame, threshold: float, strategy: str = "auto") -> DataFrame:
+    """All pairs a < b with Tanimoto >= threshold > 0. -> a, b, sim. Exact by either strategy; auto takes the cheaper.
 
-    Prefix filter: two sets of similarity t or more share one of the first ``n - ceil(t n) + 1`` elements of a common
-    order, so an equi-join on those finds every pair; sizes must agree within t. A pair is kept at the first
-    element it shares, which needs no distinct.
+    prefix: an equi-join on the first ``n - ceil(t n) + 1`` elements of each set, of which similar sets share one. For sparse sets.
+    blocks: rows dealt into blocks, and each pair of blocks compared by one task with 64-bit population counts. For dense sets, whose
+    elements select nothing. The candidates of the prefix join are counted first (one small aggregate over its elements).
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    if strategy == "auto":
+        met = _prefixes(fps, threshold).groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c") / 2)).first()[0] or 0
+        n = fps.count()
+        strategy = "prefix" if met * _PREFIX_COST <= n * n / 2 else "blocks"
+    return _pairs_by_prefix(fps, threshold) if strategy == "prefix" else _pairs_by_blocks(fps, threshold)
+
+
+#: What a candidate of the prefix join costs, in vectorised comparisons.
+_PREFIX_COST = 50
+
+
+def _pairs_by_prefix(fps: DataFrame, threshold: float) -> DataFrame:
+    """A pair is kept at the first element it shares, which needs no distinct; sizes must agree within the threshold."""
     l, r = _prefixes(fps, threshold).alias("l"), _prefixes(fps, threshold).alias("r")
     near = (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
     j = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.row_id") < F.col("r.row_id")) & near)
@@ -64,6 +77,44 @@ def tanimoto_pairs(fps: DataFrame, threshold: float) -> DataFrame:
     return j.where(F.col("sim") >= threshold)
 
 
+def _pairs_by_blocks(fps: DataFrame, threshold: float, block_rows: int = 1024) -> DataFrame:
+    blocks = max(1, -(-fps.count() // block_rows))
+    mine = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")
+    d = fps.select("row_id", "bits", mine.alias("mine"), other)
+    d = d.select(F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "row_id", "bits")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        ids, side = np.array(t.column("row_id").to_pylist(), np.int64), t.column("mine").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, side, words = ids[order], side[order], _pack_lists(t.column("bits").combine_chunks())[order]
+        size = np.bitwise_count(words).sum(1).astype(np.int64)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        out: list[tuple[np.ndarray, ...]] = []
+        for k in left:
+            r = right[right > k] if i == j else right
+            both = np.bitwise_count(words[r] & words[k]).sum(1).astype(np.int64)
+            below = size[r] + size[k] - both
+            sim = np.where(below > 0, both / np.maximum(below, 1), 0.0)
+            hit = np.flatnonzero(sim >= threshold)
+            out.append((np.minimum(ids[k], ids[r[hit]]), np.maximum(ids[k], ids[r[hit]]), sim[hit]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "sim"])
+
+    return d.groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
+
+
+def _pack_lists(bits: pa.ListArray) -> np.ndarray:
+    """Lists of positions as rows of 64-bit words."""
+    flat, offsets = bits.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bits.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    out = np.zeros((len(bits), (int(flat.max()) >> 6) + 1 if len(flat) else 1), np.uint64)
+    rows = np.repeat(np.arange(len(bits)), np.diff(offsets))
+    np.bitwise_or.at(out, (rows, flat >> 6), np.uint64(1) << (flat & 63).astype(np.uint64))
+    return out
+
+
 def self_similarity(fps: DataFrame, distance: bool = False) -> DataFrame:
     """Of all ordered pairs: see to_training."""
     return to_training(fps, fps, distance)

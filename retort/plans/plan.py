@@ -5,6 +5,7 @@ Plans are immutable, go to JSON and back through the registry of operators below
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -19,6 +20,8 @@ from retort.chem.smiles import parse_smarts, parse_smiles, pattern_of, to_smiles
 from retort.plans.errors import ERR
 from retort.sources import readers
 
+#: Results that a task keeps for inputs that come again.
+CACHED = 4096
 #: Allowed elements of the element filter by default; fixed values.
 DEFAULT_ELEMENTS = (1, 5, 6, 7, 8, 9, 14, 15, 16, 17, 34, 35, 53)
 
@@ -262,12 +265,18 @@ class Plan:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read, steps, outputs = plan._build()
+            one = functools.lru_cache(CACHED)(lambda v: _run_one(plan, read, steps, outputs, v))  # tables repeat their molecules
             for b in batches:
-                rows = [_run_one(plan, read, steps, outputs, v.as_py()) for v in b.column(len(keep) + 1)]
+                rows = [one(v.as_py()) for v in b.column(len(keep) + 1)]
                 cols = [pa.array([r[0][k] for r in rows], _ARROW[t]) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *cols, pa.array([r[1] for r in rows], _ERR_ARROW)], names)
 
-        return df.select("row_id", *keep, input_col).mapInArrow(run, schema)
+        rows = df.select("row_id", *keep, input_col)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        # the kernel costs far more than a shuffle of its inputs: a table in few partitions is dealt over all cores
+        if not df.isStreaming and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        return rows.mapInArrow(run, schema)
 
 
 def _run_one(plan: Plan, read, steps, outputs, value) -> tuple[list, dict | None]:

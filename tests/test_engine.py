@@ -103,12 +103,23 @@ def test_components_of_all_three_bit_rows(spark, sim, want):
     assert [r.cluster for r in got] == want
 
 
-def test_leader_picker(spark):
+def test_pairs_by_either_strategy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, sorted(set(rng.integers(0, 90, rng.integers(0, 12)).tolist()))) for i in range(80)]
+    f = spark.createDataFrame(rows, "row_id long, bits array<int>")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.2}
+    for strategy in ("prefix", "blocks", "auto"):
+        assert {(r.a, r.b) for r in similarity.tanimoto_pairs(f, 0.2, strategy).collect()} == want
+    assert {(r.a, r.b) for r in similarity._pairs_by_blocks(f, 0.2, 13).collect()} == want
+
+
+@pytest.mark.parametrize("below", [cluster.SMALL, 0])
+def test_leader_picker(spark, below):
     for distance in (0.0, 0.2, 1 / 3 - 1e-9):
-        got = cluster.leader_picker(three_bits(spark), distance).orderBy("row_id").collect()
+        got = cluster.leader_picker(three_bits(spark), distance, below).orderBy("row_id").collect()
         assert [r.cluster for r in got] == [0, 1, 2, 3, 4, 5, 6, 7] * 2
     rows = [(i, list(range(i, i + 4))) for i in range(12)]
-    got = {r.row_id: r.leader for r in cluster.leader_picker(spark.createDataFrame(rows, "row_id long, bits array<int>"), 0.5).collect()}
+    got = {r.row_id: r.leader for r in cluster.leader_picker(spark.createDataFrame(rows, "row_id long, bits array<int>"), 0.5, below).collect()}
     sets, leaders = [set(b) for _, b in rows], []
     sim = lambda a, b: len(a & b) / len(a | b)
     for i, s in enumerate(sets):
@@ -117,9 +128,10 @@ def test_leader_picker(spark):
     assert got == {i: max(leaders, key=lambda j: (sim(s, sets[j]), -j)) for i, s in enumerate(sets)}
 
 
-def test_components_on_a_long_path(spark):
+@pytest.mark.parametrize("below", [1000, 0])
+def test_components_on_a_long_path(spark, below):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
-    got = {r.node: r.component for r in connected_components(e).collect()}
+    got = {r.node: r.component for r in connected_components(e, one_task_below=below).collect()}
     assert got == dict.fromkeys(range(61), 0) | {100: 100, 101: 100}
 
 
