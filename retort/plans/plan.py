@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import json
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 
 from retort.chem import features as X
 from retort.chem import standardize as S
-from retort.chem.mol import Mol, MolError
+from retort.chem.mol import SYMBOLS, Mol, MolError
+from retort.chem.reaction import canonical_tautomer, react
 from retort.chem.smiles import parse_smarts, parse_smiles, pattern_of, to_smiles
 from retort.plans.errors import ERR
 from retort.sources import readers
@@ -120,6 +122,8 @@ def _step(name: str):
 
 #: Molecule to molecule.
 MOL_OPS: dict[str, Callable] = {n: _step(n) for n in S.STEPS} | {
+    "canonical_tautomer": lambda most=200: lambda m: canonical_tautomer(m, most),
+    "reaction": lambda reaction, additives=(), handle_multi="warn": lambda m: react(m, reaction, list(additives), handle_multi),
     "passthrough": lambda: lambda m: m, "element_filter": _element_filter, "smarts_filter": _pattern_filter(parse_smarts), "smiles_filter": _pattern_filter(lambda s: pattern_of(parse_smiles(s))),
     "descriptor_filter": _descriptor_filter, "complex_filter": _complex_filter, "mixture_filter": lambda: _keep(lambda m: len(m.fragments()) <= 1, "more than one fragment"),
     "empty_filter": lambda: _keep(lambda m: bool(m.atoms), "no atoms"), "inorganics_filter": lambda: _keep(lambda m: not _inorganic(m), "inorganic"),
@@ -187,6 +191,21 @@ _ARROW = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "
 _ERR_ARROW = pa.struct([("element_id", pa.string()), ("element_name", pa.string()), ("message", pa.string())])
 
 
+def _names(op: str, kw: dict) -> list[str]:
+    if op == "descriptors":
+        return list(kw.get("names") or X.DESCRIPTORS)
+    if op == "element_count":
+        return [f"Count_{SYMBOLS[z]}" for z in kw.get("numbers") or range(1, 119)]
+    if op in ("morgan", "path"):
+        return [f"{op}_{i}" for i in range(kw.get("n_bits", 2048))]
+    if op == "concat":
+        out = [f"{p}__{n}" for p, k in kw["parts"] for n in _names(p, k)]
+        if len(set(out)) < len(out):
+            warnings.warn("feature names are not unique", stacklevel=3)
+        return out
+    return [op]
+
+
 @dataclass(frozen=True)
 class Step:
     name: str
@@ -240,6 +259,26 @@ class Plan:
     def without_outputs(self) -> Plan:
         return replace(self, outputs=())
 
+    def featurizer(self) -> Plan:
+        """Reader and outputs alone."""
+        return replace(self, steps=())
+
+    def section(self, first: str, last: str) -> Plan:
+        """The steps from first to last, with reader and outputs."""
+        names = [s.name for s in self.steps]
+        if first not in names or last not in names:
+            raise ValueError("no such step")
+        return replace(self, steps=self.steps[names.index(first) : names.index(last) + 1])
+
+    def feature_names(self) -> list[str]:
+        """Of the vector outputs, with the output's name before each."""
+        return [f"{s.name}__{n}" for s in self.outputs for n in _names(s.op, s.kwargs)]
+
+    def equivalent(self, other: Plan) -> bool:
+        """Whether two plans do the same, whatever their steps are called."""
+        bare = lambda p: [(s.op, json.dumps(s.kwargs, sort_keys=True)) for s in (p.reader, *(x for x in p.steps if x.op != "passthrough"), *p.outputs)]
+        return bare(self) == bare(other)
+
     def to_json(self) -> str:
         pack = lambda s: {"name": s.name, "op": s.op, "params": s.kwargs}
         return json.dumps({"reader": pack(self.reader), "steps": [pack(s) for s in self.steps], "outputs": [pack(s) for s in self.outputs]}, sort_keys=True)
