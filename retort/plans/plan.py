@@ -170,6 +170,13 @@ def _element_count(numbers=None):
     return _vector(lambda m: X.element_counts(m, numbers))
 
 
+def _net_charge(method: str = "formal"):
+    """formal, or gasteiger: the rounded sum of partial charges."""
+    if method not in ("formal", "gasteiger"):
+        raise ValueError("method must be 'formal' or 'gasteiger'")
+    return (lambda m: float(sum(a.charge for a in m.atoms))) if method == "formal" else (lambda m: float(round(sum(X.gasteiger_charges(m)))))
+
+
 def _morgan(radius: int = 2, n_bits: int = 2048, counted: bool = False, use_features: bool = False):
     if use_features:
         raise ValueError("feature invariants are not supported")
@@ -182,7 +189,8 @@ OUTPUTS: dict[str, tuple[str, Callable]] = {
     "smiles": ("string", lambda: to_smiles), "binary": ("binary", lambda: readers.to_binary), "bool": ("boolean", lambda: lambda m: True),
     "morgan": ("map<int,int>", _morgan), "path": ("map<int,int>", lambda **kw: lambda m: list(X.path_fingerprint(m, **kw).items())),
     "morgan_bits": ("array<int>", lambda radius=2, n_bits=2048: lambda m: list(X.morgan(m, radius, n_bits))),
-    "descriptors": ("array<double>", _descriptors), "element_count": ("array<double>", _element_count), "net_charge": ("double", lambda: lambda m: float(sum(a.charge for a in m.atoms))),
+    "descriptors": ("array<double>", _descriptors), "element_count": ("array<double>", _element_count), "net_charge": ("double", _net_charge), "pattern_keys": ("map<int,int>", lambda keys: lambda m: list(X.pattern_keys(m, keys).items())),
+    "pharmacophore": ("map<int,int>", lambda **kw: lambda m: list(X.pharmacophore(m, **kw).items())), "graph": ("string", lambda: lambda m: json.dumps(X.graph_features(m), separators=(",", ":"))),
     "fragments": ("int", lambda: lambda m: len(m.fragments())), "concat": ("array<double>", _concat), "scaffold": ("string", lambda: lambda m: to_smiles(S.murcko(m))),
     "n_atoms": ("int", lambda: lambda m: len(m.atoms)),
 }

@@ -100,3 +100,11 @@ def read_table(spark: SparkSession, path: str, column: str, sep: str = "\t") ->
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     """Whole files: row_id, input (binary), path."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("row_id"), F.col("content").alias("input"), "path")
+
+
+def load_url(url: str, timeout: float = 60.0) -> bytes:
+    """The bytes at a URL, fetched by the driver; a bad status raises."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=timeout) as r:  # raises HTTPError beyond status 299
+        return r.read()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.functions import timeutil as T
-from retort.operators import cluster, conformal, kernels, models, similarity, splits, stats
+from retort.operators import cluster, conformal, explain, kernels, models, similarity, splits, stats
 from retort.operators.components import connected_components
 from retort.plans.errors import error_filter, failed, is_valid, reinsert, rejected
 from retort.plans.plan import Plan, Step
@@ -236,3 +236,12 @@ def test_plan_on_a_stream_equals_batch(spark, tmp_path):
     m.write.parquet(str(tmp_path / "in.parquet"))
     s = streams.run_available(PLAN.apply(streams.file_stream(spark, str(tmp_path), "in.parquet")).select("row_id", "smiles", "ok"))
     assert sorted(map(tuple, s.collect()), key=str) == sorted(map(tuple, PLAN.apply(m).select("row_id", "smiles", "ok").collect()), key=str)
+
+
+def test_shapley_values(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [0.0, 0.0, 1.0])], "row_id long, features array<double>")
+    score = lambda d: d.select("row_id", (F.get("features", F.lit(0)) * 2 + F.get("features", F.lit(1)) * F.get("features", F.lit(2))).alias("value"))
+    got = {r.row_id: r for r in explain.shapley_values(rows, [0.0, 0.0, 0.0], score, 40).collect()}
+    assert got[0].prediction == 8 and got[0].expected_value == 0 and sum(got[0].shap) == pytest.approx(8) and got[0].shap[0] == pytest.approx(2)
+    assert got[1].shap == pytest.approx([0, 0, 0])
+    assert all(r.is_valid for r in explain.valid_explanations(explain.shapley_values(rows, [0.0] * 3, score, 1)).collect())
