@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from retort.functions.timeutil import group_of, resolve_instant, thresholds_for_n_years
+from retort.operators.numbering import number_in_order
 
 
 def seeded_hash(seed: int, *key: Column) -> Column:
@@ -118,15 +119,7 @@ def bootstrap(rows: DataFrame, n_splits: int, max_samples: int | float | None =
     if draws < 1:
         raise ValueError("max_samples must be positive")
     spark = rows.sparkSession
-    # a dense number for each row: offsets of range partitions, so that no task sorts all rows
-    dense = rows.select("row_id").repartitionByRange("row_id").sortWithinPartitions("row_id").select("row_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    dense = dense.select("row_id", "p", F.row_number().over(Window.partitionBy("p").orderBy("m")).alias("k"))
-    before = {r.p: r.n for r in dense.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one number a partition
-    offset, at = {}, 0
-    for p in sorted(before):
-        offset[p], at = at, at + before[p]
-    shift = F.create_map(*[F.lit(x) for p, o in offset.items() for x in (p, o)]) if offset else F.create_map()
-    dense = dense.select("row_id", (F.element_at(shift, F.col("p")) + F.col("k") - 1).cast("long").alias("i"))
+    dense = number_in_order(rows, "row_id", "i")
     d = spark.range(draws).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split_id"))
     d = d.select("split_id", "pos", F.floor(seeded_hash(seed, F.col("split_id"), F.col("pos")) * n / F.lit(2**32)).cast("long").alias("i"))
     train = d.join(dense, "i").select("split_id", "row_id", F.lit("train").alias("role"), "pos")
@@ -144,7 +137,7 @@ def repetition(rows: DataFrame, n_splits: int) -> DataFrame:
 def ordinal_codes(rows: DataFrame, col: str) -> DataFrame:
     """Codes of the distinct values in order, as doubles; null stays null. -> row_id, code."""
     d = rows.where(F.col(col).isNotNull()).select(col).distinct()
-    d = d.select(F.col(col).alias("v"), (F.dense_rank().over(Window.orderBy(col)) - 1).cast("double").alias("code"))
+    d = number_in_order(d, col, "code").select(F.col(col).alias("v"), F.col("code").cast("double").alias("code"))
     return rows.join(d, F.col(col) == F.col("v"), "left").select("row_id", "code")
 
 
