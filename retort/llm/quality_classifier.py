@@ -7,7 +7,8 @@ the expected grade and the tail probability ``P(grade >= 2)`` that selects.
 Features of a text: each distinct word and its beginning (summed), and the shapes of its distinct words (averaged, so that
 they do not grow with the text). Only buckets that point to a lower grade get a weight: seen in ``LEAST_DOCS`` fitted documents or more,
 and there more often than chance (``LEAST_Z`` standard errors, ``LEAST_LOG_ODDS``) with such a grade. So clean text adds nothing to the
-score, however long it is. A text is selected where its tail probability reaches that of ``KEEP_SHARE`` of the fitted texts of the best grade.
+score, however long it is. A text is selected from that tail probability on which best parts the fitted texts of the best grade from the rest
+(share kept less share wrongly kept), among those that keep at least ``KEEP_SHARE`` of them.
 
 The fit takes at most ``FIT_ROWS`` labelled documents, those first by a hash of their id, whose features come to the driver
 in a few bytes a word; scoring covers every whole text.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from retort.llm.common import table
 
-GRADES, BUCKETS, FIT_ROWS, LEAST_DOCS = 3, 1 << 18, 6000, 5
-LEAST_Z, LEAST_LOG_ODDS, KEEP_SHARE = 4.0, 2.5, 0.97
+GRADES, BUCKETS, FIT_ROWS, LEAST_DOCS = 3, 1 << 18, 10_000, 5
+LEAST_Z, LEAST_LOG_ODDS, KEEP_SHARE = 4.0, 3.0, 0.95
 FIT_BUCKETS = 20_000  # of one text, at most, in the fit (a bound of the driver's memory); scoring takes all
 
 
@@ -59,7 +60,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _whole(words: list[str], distinct: int) -> list[int]:
     """Buckets of the text as a whole: its length and how much of it repeats."""
-    return [_bucket("n", str(len(words).bit_length())), _bucket("u", str(10 * distinct // max(1, len(words))))]
+    return [_bucket("n", str(len(words).bit_length())), _bucket("u", str(40 * distinct // max(1, len(words))))]
 
 
 @dataclass(frozen=True)
@@ -112,8 +113,13 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 20
     weights = np.zeros(BUCKETS)
     weights[used] = x
     thresholds = t0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    best = sigmoid(np.bincount(owner, x[idx] * val, len(rows))[y == GRADES - 1] - thresholds[-1])
-    at = float(np.quantile(best, 1 - KEEP_SHARE)) if len(best) else 0.5
+    tail = sigmoid(np.bincount(owner, x[idx] * val, len(rows)) - thresholds[-1])
+    good, rest = np.sort(tail[y == GRADES - 1]), np.sort(tail[y < GRADES - 1])
+    at = 0.5
+    if len(good) and len(rest):
+        cuts = np.unique(good)
+        kept, wrong = 1 - np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(rest, cuts) / len(rest)
+        at = float(cuts[np.argmax(np.where(kept >= KEEP_SHARE, kept - wrong, -1.0))])
     return Model(weights, tuple(thresholds.tolist()), at - 1e-6)
 
 
