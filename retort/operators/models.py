@@ -292,6 +292,34 @@ class ConformalRegressor:
         return conformal.intervals(self.cal, self._pred(df), confidence, bool(self.edges))
 
 
+@dataclass
+class CrossConformalRegressor:
+    """A conformal regressor a fold, folds stratified by percentiles of y; the mean of their bounds."""
+
+    make: Callable[[int], Estimator]
+    n_folds: int = 5
+    n_bins: int = 0
+    n_groups: int = 10
+    seed: int = 42
+    parts: list[ConformalRegressor] = field(default_factory=list)
+
+    def fit(self, df: DataFrame) -> CrossConformalRegressor:
+        d = with_vector(df)
+        folds = splits.stratified_folds(splits.percentile_bins(d.select("row_id", "y"), self.n_groups), self.n_folds, self.seed)
+        d = d.join(folds.select("row_id", "fold"), "row_id")
+        self.parts = [ConformalRegressor(self.make(self.seed + k), self.n_bins).fit(d.where(F.col("fold") != k)).calibrate(d.where(F.col("fold") == k)) for k in range(self.n_folds)]
+        return self
+
+    def predict_int(self, df: DataFrame, confidence: float = 0.9) -> DataFrame:
+        out = None
+        for k, c in enumerate(self.parts):
+            p = c.predict_int(df, confidence).withColumn("fold", F.lit(k))
+            out = p if out is None else out.union(p)
+        if out is None:
+            raise ValueError("not fitted")
+        return conformal.cross_intervals(out)
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"), (F.col("label") % 2).cast("double").alias("y"))

@@ -32,6 +32,19 @@ READ = Step.of("read", "auto")
 BASIC = Plan(READ, (), (Step.of("elements", "element_count", numbers=[1, 6, 7, 8, 16]), Step.of("charge", "net_charge"), Step.of("rings", "descriptors", names=["RingCount"]), Step.of("scaffold", "scaffold")))
 
 
+def scaffold_clustering(df: DataFrame, make_generic: bool = False, linear_molecules_strategy: str = "ignore") -> DataFrame:
+    """row_id, input -> row_id, code: molecules of one scaffold share a code (in order of the scaffolds' texts).
+
+    Rows that cannot be read have none; nor have molecules without a ring ("ignore"), unless they form a cluster of their own ("own_cluster").
+    """
+    if linear_molecules_strategy not in ("ignore", "own_cluster"):
+        raise ValueError("linear_molecules_strategy must be 'ignore' or 'own_cluster'")
+    steps = (Step.of("scaffold", "murcko"), *((Step.of("generic", "generic_scaffold"), Step.of("again", "murcko")) if make_generic else ()))
+    d = Plan(READ, steps, (Step.of("text", "smiles"),)).apply(df)
+    linear = F.lit("linear") if linear_molecules_strategy == "own_cluster" else F.lit(None).cast("string")
+    return ordinal_codes(d.select("row_id", F.when(F.col("text") == "", linear).otherwise(F.col("text")).alias("text")), "text")
+
+
 def q_features(spark, sf_dir):
     d = error_filter(BASIC.apply(molecules(spark, sf_dir)))
     return d.select("row_id", *[F.get("elements", F.lit(i)).alias(c) for i, c in enumerate(("n_h", "n_c", "n_n", "n_o", "n_s"))], "charge", F.get("rings", F.lit(0)).alias("n_rings"), "scaffold")
@@ -59,8 +72,7 @@ def q_standardize(spark, sf_dir):
 
 
 def q_scaffold_clusters(spark, sf_dir):
-    d = BASIC.apply(molecules(spark, sf_dir)).select("row_id", F.when(F.col("scaffold") != "", F.col("scaffold")).alias("scaffold"))
-    return ordinal_codes(d, "scaffold")
+    return scaffold_clustering(molecules(spark, sf_dir))
 
 
 def _distinct_fps(spark, sf_dir):

@@ -220,6 +220,8 @@ def test_models(spark, points):
     r = models.ConformalRegressor(models.rf_regressor(5, maxDepth=4), 2).fit(train.withColumn("y", F.col("z"))).calibrate(cal.withColumn("y", F.col("z")))
     iv = conformal.evaluate_intervals(r.predict_int(test, 0.8), test.select("row_id", F.col("z").alias("y"))).first()
     assert iv.error <= 0.45 and iv.eff_mean > 0
+    x = models.CrossConformalRegressor(lambda s: models.rf_regressor(5, s, maxDepth=4), 2).fit(train.withColumn("y", F.col("z"))).predict_int(test, 0.8)
+    assert x.where("lo < hi").count() == 40
     with pytest.raises(ValueError):
         models.Calibrated(make, "none").fit(train)
 
@@ -245,3 +247,15 @@ def test_shapley_values(spark):
     assert got[0].prediction == 8 and got[0].expected_value == 0 and sum(got[0].shap) == pytest.approx(8) and got[0].shap[0] == pytest.approx(2)
     assert got[1].shap == pytest.approx([0, 0, 0])
     assert all(r.is_valid for r in explain.valid_explanations(explain.shapley_values(rows, [0.0] * 3, score, 1)).collect())
+
+
+def test_scaffold_clusters(spark):
+    from retort.plans.molecules import scaffold_clustering
+
+    rings, linear = ["Cc1ccccc1", "Cc1cc(Oc2nccc(CCC)c2)ccc1", "c1ccccc1"], ["CC", "CCC", "CCCN"]
+    codes = lambda texts, **kw: [r.code for r in scaffold_clustering(molecules(spark, texts), **kw).orderBy("row_id").collect()]
+    assert codes([*rings, *linear]) == [1, 0, 1, None, None, None]
+    assert codes([*rings, *linear], linear_molecules_strategy="own_cluster") == [1, 0, 1, 2, 2, 2]
+    assert codes([*rings, "c1ncccc1", "nonsense"]) == [1, 0, 1, 2, None] and codes([*rings, "c1ncccc1"], make_generic=True) == [1, 0, 1, 1]
+    with pytest.raises(ValueError):
+        codes(rings, linear_molecules_strategy="drop")
