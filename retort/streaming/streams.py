@@ -35,7 +35,7 @@ def q_stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors as data on a stream: the JSON property of an event, -1 where it is not a number under 50."""
     e = file_stream(spark, sf_dir, "events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
-    return run_available(e.select("event_id", F.date_trunc("hour", "ts").alias("hour"), F.when(k < 50, k).otherwise(-1).alias("k")))
+    return run_available(e.select("event_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.when(k < 50, k).otherwise(-1).alias("k")))
 
 
 QUERIES = {"stream_parity": q_stream_parity}
