@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm.common import buckets_for, table
+from retort.llm.common import buckets_for, checkpoint, table
 
 WIDTH, GRAM = 200, 20
 #: Bytes of text whose suffixes a task sorts at a time; of input by bucket of the exchange; that are hashed at a time.
@@ -42,6 +42,7 @@ LEVEL = 7  # of compression, of runs and of the texts that meet their answers
 _POS_BITS = 24  # positions inside a chunk; a text beyond that is cut into overlapping chunks
 
 
+@np.errstate(over="ignore")
 def gram_hashes(buf: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A mixed 64-bit polynomial hash of every gram-byte substring, by doubling (numpy wraps around)."""
     power, size, part = np.uint64(0x9E3779B97F4A7C15), 1, buf.astype(np.uint64) + np.uint64(1)
@@ -376,6 +377,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_stretches(rows.select("key", "data"), buckets or buckets_for(docs, BUCKET_BYTES), width, gram)
     # of a text at most one stretch a run and task: its length bounds the list, whatever its number of copies
     found = found.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    # written, so that the join below has a shuffle of its own on both sides: Spark can then split a text of very many copies
+    found = checkpoint(found)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
