@@ -42,20 +42,23 @@ def _signed(x: int) -> int:
 _SEGMENT = [((1 << _EDGES[i + 1]) - 1) ^ ((1 << _EDGES[i]) - 1) for i in range(SEGMENTS)]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     line, at, h = b" ".join(tokens), 0, xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return h(line, 42)
+        return np.array([h(line, 42)], np.uint64)
     starts = []
     for t in tokens:
         starts.append(at)
         at += len(t) + 1
     ends = [s - 1 for s in starts[words:]] + [at - 1]
-    hashes = np.array([h(line[s:e], 42) for s, e in zip(starts, ends)], np.uint64)
+    return np.array([h(line[s:e], 42) for s, e in zip(starts, ends)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         part = hashes[i : i + (1 << 15)]
@@ -63,16 +66,35 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """-> doc_id, fp (signed long)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash."""
+    return _majority(_shingle_hashes(text, words))
+
+
+@np.errstate(over="ignore")
+def more_fingerprints(text: str | None, words: int = 3, n: int = 1) -> list[int]:
+    """n independent SimHashes: the first is fingerprint(); each other one mixes the shingle hashes anew."""
+    h = _shingle_hashes(text, words)
+    out = [_majority(h)]
+    for k in range(1, n):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n: int = 1) -> DataFrame:
+    """-> doc_id, fp (signed long); for n > 1 fps, an array of n independent ones."""
+    kind, many = docs.schema[id_col].dataType.simpleString(), n > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            found = [more_fingerprints(t.as_py(), words, n) for t in b.column(1)]
+            flat = pa.array(np.array([x for f in found for x in f], np.uint64).view(np.int64))
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n), flat) if many else flat
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fps" if many else "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fps array<long>" if many else f"doc_id {kind}, fp long")
 
 
 def _mask(*segments: int) -> int:
@@ -90,26 +112,26 @@ def _chain_holds(x: Column, y: Column, start: Column) -> Column:
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
-    """fps: distinct fp. -> x, y: links whose components are those of all pairs within BITS bits."""
+    """fps: distinct k, fp (k tells independent fingerprints apart) -> k, x, y: links whose components are those of all pairs within BITS bits."""
     keys = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(i, i + 1)))).alias("key")) for i in range(SEGMENTS)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.seg", "k.key")
-    met = keyed.groupBy(F.col("seg").alias("s"), F.col("key").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
-    keyed = checkpoint(keyed.join(met, (F.col("seg") == F.col("s")) & (F.col("key") == F.col("q"))).select("fp", "seg", "key", "n"))
+    keyed = fps.select("k", "fp", F.explode(keys).alias("s")).select("k", "fp", "s.seg", "s.key")
+    met = keyed.groupBy(F.col("k").alias("h"), F.col("seg").alias("s"), F.col("key").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
+    keyed = checkpoint(keyed.join(met, (F.col("k") == F.col("h")) & (F.col("seg") == F.col("s")) & (F.col("key") == F.col("q"))).select("k", "fp", "seg", "key", "n"))
     few, many = keyed.where(F.col("n") <= CROWD), keyed.where(F.col("n") > CROWD)
     l, r = few.alias("l"), few.alias("r")
-    same = (F.col("l.seg") == F.col("r.seg")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
-    pairs = l.join(r, same & _chain_holds(F.col("l.fp"), F.col("r.fp"), F.col("l.seg"))).select(F.col("l.fp").alias("x"), F.col("r.fp").alias("y"))
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.seg") == F.col("r.seg")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    pairs = l.join(r, same & _chain_holds(F.col("l.fp"), F.col("r.fp"), F.col("l.seg"))).select("l.k", F.col("l.fp").alias("x"), F.col("r.fp").alias("y"))
     free = F.get(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64) if not _mask(i, i + 1) >> b & 1]) for i in range(SEGMENTS)]), F.col("seg"))
-    stars = many.select("fp", "seg", F.explode(F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("at"))
-    stars = stars.groupBy("seg", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select(F.array_min("fps").alias("x"), F.explode("fps").alias("y")).where("x <> y")
+    stars = many.select("k", "fp", "seg", F.explode(F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("at"))
+    stars = stars.groupBy("k", "seg", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = stars.select("k", F.array_min("fps").alias("x"), F.explode("fps").alias("y")).where("x <> y")
     return pairs.union(stars)
 
 
 def link_classes(fps: DataFrame) -> DataFrame:
     """(doc_id, fp) -> fp, part (a fingerprint of the component), component_id: one row for each distinct fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = near_pairs(classes.select("fp"))
+    links = near_pairs(classes.select(F.lit(0).alias("k"), "fp"))
     parts = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     least = known.groupBy(F.col("part").alias("p")).agg(F.min("rep").alias("component_id"))
@@ -123,18 +145,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(parts, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies."""
-    temp = [c for c in ("__fp", "__key", "__id", "__k") if c in docs.columns]
+def link_any(texts: DataFrame) -> DataFrame:
+    """texts: distinct node (long), fps -> node, part: components of the links by any of the fingerprints."""
+    each = texts.select("node", F.posexplode("fps").alias("k", "fp"))
+    least = checkpoint(each.groupBy("k", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    equal = each.join(least.where("n > 1").select(F.col("k").alias("h"), F.col("fp").alias("f"), "first"), (F.col("k") == F.col("h")) & (F.col("fp") == F.col("f")))
+    near = near_pairs(least.select("k", "fp"))
+    x = least.select(F.col("k").alias("kx"), F.col("fp").alias("fx"), F.col("first").alias("a"))
+    y = least.select(F.col("k").alias("ky"), F.col("fp").alias("fy"), F.col("first").alias("b"))
+    near = near.join(x, (F.col("k") == F.col("kx")) & (F.col("x") == F.col("fx"))).select("k", "y", "a").join(y, (F.col("k") == F.col("ky")) & (F.col("y") == F.col("fy")))
+    parts = connected_components(near.select("a", "b").union(equal.select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    return texts.join(parts.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "node").alias("part"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n_fingerprints: int = 8) -> DataFrame:
+    """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies.
+
+    Texts are linked where any of n independent fingerprints agree within BITS bits. One alone finds few copies that differ in more than a word
+    or two; n of them find a pair with the chance ``1 - (1 - p)**n``, and those of unlike texts are as far apart as before.
+    """
+    temp = [c for c in ("__key", "__id", "__k") if c in docs.columns]
     if temp:
         raise ValueError(f"columns reserved: {temp}")
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    fps = checkpoint(fingerprints(docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))), "__id", text_col, words))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("best"))
-    parts = link_classes(fps.select(F.col("doc_id.id").alias("doc_id"), "fp")).select(F.col("fp").alias("f"), "part")
-    kept = least.join(parts, F.col("fp") == F.col("f")).groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
-    rows = docs.withColumn("__key", key).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
-    return rows.dropDuplicates([id_col, "__key"]).drop("__key")
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+    fps = checkpoint(fingerprints(rows, "row", "text", words, max(2, n_fingerprints)))
+    texts = checkpoint(fps.groupBy("fps").agg(F.min("doc_id").alias("best")).withColumn("node", F.xxhash64("fps")))
+    # texts of equal fingerprints are one node; the hash of so many bits stands for them
+    texts = texts.groupBy("node").agg(F.min("best").alias("best"), F.min("fps").alias("fps"))
+    parts = link_any(texts.select("node", "fps")).select(F.col("node").alias("m"), "part")
+    kept = texts.join(parts, F.col("node") == F.col("m")).groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
+    out = docs.withColumn("__key", key).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return out.dropDuplicates([id_col, "__key"]).drop("__key")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
