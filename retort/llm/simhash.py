@@ -32,6 +32,8 @@ from retort.llm.common import checkpoint, table
 from retort.operators.components import connected_components
 
 BITS, SEGMENTS, CROWD = 2, 5, 64
+#: Independent fingerprints of keep_representatives.
+FINGERPRINTS = 16
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
@@ -158,7 +160,7 @@ def link_any(texts: DataFrame) -> DataFrame:
     return texts.join(parts.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n_fingerprints: int = 8) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n_fingerprints: int = FINGERPRINTS) -> DataFrame:
     """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies.
 
     Texts are linked where any of n independent fingerprints agree within BITS bits. One alone finds few copies that differ in more than a word

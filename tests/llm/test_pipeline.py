@@ -10,7 +10,7 @@ def test_stages_keep_what_they_should(spark):
     docs = {r.doc_id: r.text for r in table(spark, D, "documents").collect()}
     fit = language_id.fit(language_id.known_documents(table(spark, D, "documents")))
     left = {i for (i, t), p in zip(docs.items(), language_id.predict(fit, list(docs.values()))) if p[0] != "und"}
-    fp = {i: simhash.more_fingerprints(docs[i], 3, 8) for i in left}
+    fp = {i: simhash.more_fingerprints(docs[i], 3, simhash.FINGERPRINTS) for i in left}
     part = {i: i for i in left}
     for i in sorted(left):  # links by brute force
         for j in sorted(left):
