@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from retort.llm.common import table
 
 MODEL = os.environ.get("RETORT_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-N_BEST, CACHED_WORDS = 3, 500_000
+N_BEST, CACHED_WORDS = 3, 400_000
 BLANK = "\u2581"
 #: Blanks with the letters, or with the other characters, that follow; the boundaries that no piece crosses.
 _RAISED = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"  # digits that the expression would count as letters

@@ -33,7 +33,7 @@ from retort.operators.components import connected_components
 
 BITS, SEGMENTS, CROWD = 2, 5, 64
 #: Independent fingerprints of keep_representatives.
-FINGERPRINTS = 16
+FINGERPRINTS = 12
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
