@@ -32,8 +32,12 @@ from retort.llm.common import checkpoint, table
 from retort.operators.components import connected_components
 
 BITS, SEGMENTS, CROWD = 2, 5, 64
-#: Independent fingerprints of keep_representatives.
+#: Independent fingerprints for link_any.
 FINGERPRINTS = 12
+#: keep_representatives: words of a shingle; least similarity (as a fraction).
+STAGE_WORDS, SIMILARITY = 5, (4, 5)
+#: Its candidates agree in all hash functions of a band. At similarity 0.8, a pair shares none with the chance (1 - 0.8**5)**40 = 1.2e-7.
+BANDS, BAND_ROWS, STAR_ROUNDS = 40, 5, 3
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
@@ -160,23 +164,114 @@ def link_any(texts: DataFrame) -> DataFrame:
     return texts.join(parts.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n_fingerprints: int = FINGERPRINTS) -> DataFrame:
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """Distinct hashes of the shingles, as signed longs in order."""
+    return np.unique(_shingle_hashes(text, words).view(np.int64))
+
+
+_RNG = np.random.default_rng(42)
+_XOR, _MUL = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(low) for low in (0, 1))
+
+
+@np.errstate(over="ignore")
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys: each stands for its number and the least values of BAND_ROWS hash functions over the set."""
+    h, least = shingles.view(np.uint64), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(h), 2048):  # bounded memory for very long texts
+        np.minimum(least, ((h[i : i + 2048, None] ^ _XOR) * _MUL).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """rows: node, text -> node, size (distinct shingles), keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            flat = pa.array(np.concatenate([band_keys(x) for x in sets]) if sets else np.zeros(0, np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), keys], ["node", "size", "keys"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, size long, keys array<long>")
+
+
+def _shingled(rows: DataFrame) -> DataFrame:
+    """rows: node, text -> node, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "set"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, set array<long>")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs: a, b -> those whose shingle sets have a Jaccard similarity of SIMILARITY or more; two empty sets are equal."""
+    pairs = checkpoint(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    texts = rows.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = checkpoint(_shingled(texts))
+    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("s")), sets.select(F.col("node").alias("b"), F.col("set").alias("t"))
+    both, total = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
+    top, below = SIMILARITY
+    return checkpoint(pairs.join(x, "a").join(y, "b").where(both * below >= (total - both) * top).select("a", "b"))
+
+
+def jaccard_links(rows: DataFrame) -> DataFrame:
+    """rows: node, text (equal nodes, equal texts) -> a, b: links whose components are those of all pairs of similarity SIMILARITY or more.
+
+    Pairs that share a band key are compared exactly. Under a key of at most CROWD nodes that is every pair. Under any other, each node is first
+    compared with one chosen by a hash, another in each of STAR_ROUNDS rounds; what is by then in one component needs no link, and
+    every pair of nodes in different components is compared last.
+    """
+    banded = checkpoint(_banded(rows).dropDuplicates(["node"]))
+    keyed = banded.select("node", "size", F.explode("keys").alias("key"))
+    met = keyed.groupBy(F.col("key").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
+    keyed = checkpoint(keyed.join(met, F.col("key") == F.col("q")).select("key", "node", "size", "n"))
+    top, below = SIMILARITY
+    fits = lambda x, y: (F.col(x) * below >= F.col(y) * top) & (F.col(y) * below >= F.col(x) * top)
+    few, many = keyed.where(F.col("n") <= CROWD), keyed.where(F.col("n") > CROWD)
+    l, r = few.alias("l"), few.alias("r")
+    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & fits("l.size", "r.size"))
+    links = _verified(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")), rows)
+    if many.isEmpty():
+        return links
+    for i in range(STAR_ROUNDS + 1):
+        parts = connected_components(links).select(F.col("node").alias("m"), "component")
+        left = checkpoint(many.join(parts, F.col("node") == F.col("m"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("part")))
+        split = left.groupBy(F.col("key").alias("q")).agg(F.min("part").alias("p"), F.max("part").alias("z"), F.min_by(F.struct("node", "size", "part"), F.xxhash64("node", F.lit(i))).alias("hub")).where("p < z")
+        many = checkpoint(left.join(split, F.col("key") == F.col("q")).select("key", "node", "size", "part", "hub"))
+        if many.isEmpty():
+            break
+        if i < STAR_ROUNDS:
+            pairs = many.where((F.col("part") != F.col("hub.part")) & fits("size", "hub.size")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        else:
+            l, r = many.alias("l"), many.alias("r")
+            apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.part") != F.col("r.part"))
+            pairs = l.join(r, apart & fits("l.size", "r.size")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        links, many = checkpoint(links.union(_verified(pairs, rows))), many.select("key", "node", "size")
+    return links
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies.
 
-    Texts are linked where any of n independent fingerprints agree within BITS bits. One alone finds few copies that differ in more than a word
-    or two; n of them find a pair with the chance ``1 - (1 - p)**n``, and those of unlike texts are as far apart as before.
+    Texts are linked where the sets of their STAGE_WORDS-word shingles have an exact Jaccard similarity of SIMILARITY or more.
     """
     temp = [c for c in ("__key", "__id", "__k") if c in docs.columns]
     if temp:
         raise ValueError(f"columns reserved: {temp}")
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
-    fps = checkpoint(fingerprints(rows, "row", "text", words, max(2, n_fingerprints)))
-    texts = checkpoint(fps.groupBy("fps").agg(F.min("doc_id").alias("best")).withColumn("node", F.xxhash64("fps")))
-    # texts of equal fingerprints are one node; the hash of so many bits stands for them
-    texts = texts.groupBy("node").agg(F.min("best").alias("best"), F.min("fps").alias("fps"))
-    parts = link_any(texts.select("node", "fps")).select(F.col("node").alias("m"), "part")
-    kept = texts.join(parts, F.col("node") == F.col("m")).groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(text)
+    rows = docs.select(F.xxhash64(text).alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), text.alias("text"))
+    parts = connected_components(jaccard_links(rows.select("node", "text"))).select(F.col("node").alias("m"), "component")
+    texts = rows.groupBy("node").agg(F.min("row").alias("best"))
+    parted = texts.join(parts, F.col("node") == F.col("m"), "left").select("best", F.coalesce("component", "node").alias("part"))
+    kept = parted.groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
     out = docs.withColumn("__key", key).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
     return out.dropDuplicates([id_col, "__key"]).drop("__key")
 

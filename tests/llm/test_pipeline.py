@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from retort.llm import decontaminate, language_id, pii, simhash
 from retort.llm.common import table
@@ -27,3 +29,27 @@ def test_empty_table(spark, tmp_path):
     table(spark, D, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, D, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_is_five_word_jaccard(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["", None, "A b", "a  B"]
+    for _ in range(4):  # copies from near to far, and chains of them
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for changes in [0, *[rng.randint(0, 6) for _ in range(25)]]:
+            words = list(base)
+            for _ in range(changes):
+                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    part = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = part[i], part[j]
+                part = [min(a, b) if p in (a, b) else p for p in part]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd, rounds in ((64, 3), (2, 3), (2, 0)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "STAR_ROUNDS", rounds)
+        assert {r.doc_id for r in simhash.keep_representatives(d).collect()} == set(part)
