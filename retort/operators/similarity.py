@@ -217,19 +217,21 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
 def named_neighbors(queries: DataFrame, targets: DataFrame, n_neighbors: int = 5, metric: str | Callable[[Column, Column], Column] = "euclidean", vector_col: str = "vector", name_col: str = "name") -> DataFrame:
     """The names of the nearest targets: q_id, rank, name, distance; ties to the least target id.
 
-    Targets must fit one broadcast block (checked); tanimoto_knn has no such bound.
+    Queries go out in blocks of bounded size against all targets; each partition of targets keeps its own nearest, and only those meet.
     """
     f = METRICS.get(metric) if isinstance(metric, str) else metric
     if f is None:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(METRICS)}")
-    if targets.limit(BLOCK_ROWS * 16 + 1).count() > BLOCK_ROWS * 16:
-        raise ValueError("too many targets for a broadcast")
     q = queries.select(F.col("row_id").alias("q_id"), F.col(vector_col).alias("q_v"))
     t = targets.select(F.col("row_id").alias("t_id"), F.col(vector_col).alias("t_v"), F.col(name_col).alias("name"))
-    d = q.crossJoin(F.broadcast(t)).select("q_id", "t_id", "name", f(F.col("q_v"), F.col("t_v")).alias("distance"))
-    # the k best of a query are kept while grouping; no task sorts the pairs of a query
-    w = Window.partitionBy("q_id").orderBy("distance", "t_id")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_neighbors).select("q_id", "rank", "name", "distance")
+    w, out = Window.partitionBy("q_id").orderBy("distance", "t_id"), None
+    n_blocks = max(1, -(-q.count() // BLOCK_ROWS))
+    for i in range(n_blocks):
+        block = q.where(F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else q
+        d = t.crossJoin(F.broadcast(block)).select("q_id", "t_id", "name", f(F.col("q_v"), F.col("t_v")).alias("distance"))
+        part = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_neighbors)
+        out = part if out is None else out.union(part)
+    return out.select("q_id", "rank", "name", "distance")
 
 
 def q_tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
