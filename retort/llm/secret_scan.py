@@ -4,7 +4,8 @@ Three base patterns (assignments, access keys, hex runs) and, over candidate str
 entropy is kept by incremental counts: when the window moves, the leaving character's count goes down, the entering
 one's goes up, and only their two terms of ``sum c*log2(c)`` change. A candidate is reported as ``entropy`` when its
 highest window exceeds the threshold of its character class, unless the allow-list suppresses it or a base span
-already covers part of it.
+already covers part of it. Of 4,000 random words of 20 characters, 99 % of those of digits and 27 % of those of one-case letters pass
+their thresholds (2.5, 3.8; longer ones have more windows): plain long words reach 3.7, so short runs of letters are told apart in part only.
 
 Spark has no regular-expression function that returns positions, so they are found by splitting: the pieces between
 the matches and the matches themselves, in order, give every start by a running sum. Nothing is shuffled.
@@ -30,11 +31,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 WINDOW = 20
 #: Least entropy (bits a character) of a window, by character class of the candidate; the first class that fits counts.
-CLASSES = (("digits", "^[0-9]+$", 9.0), ("hex", "^[0-9a-fA-F]+$", 3.0), ("letters", "^([a-z]+|[A-Z]+|[A-Z]?[a-z_-]+)$", 9.0),
+CLASSES = (("digits", "^[0-9]+$", 2.5), ("hex", "^[0-9a-fA-F]+$", 3.0), ("letters", "^([a-z]+|[A-Z]+|[A-Z]?[a-z_-]+)$", 3.8),
            ("upper", "^[A-Z0-9]+$", 3.6), ("mixed", "", 3.8))
 #: Placeholders, UUIDs, paths and identifiers made of dashed words.
 ALLOW = (r"(?i)example", r"(?i)x{6}", r"(.)\1{7}", r"0123456789|123456789", r"(?i)abcdefgh",
-         r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^/?([A-Za-z_-]{1,15}/){2,}", r"^([A-Za-z]{1,12}[-_=]+){3,}[A-Za-z]{0,12}$")
+         r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^/?([A-Za-z_-]{1,15}/){2,}[A-Za-z_-]{0,15}$", r"^([A-Za-z]{1,12}[-_=]+){3,}[A-Za-z]{0,12}$")
 
 _SPAN = "array<struct<s:int,e:int,k:int>>"
 
