@@ -2,25 +2,18 @@
 
 No link, component or node list reaches the driver; each round joins on a node with the minimum of its neighbours, and
 the edge table never outgrows the input. Rounds are logarithmic in the longest path. Lineage is cut by a reliable
-checkpoint after each round, so a lost executor costs no more than the current one.
+checkpoint after each round, so a lost executor costs no more than the current one. Nodes are longs.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="retort-ckpt-"))
-    return df.checkpoint(eager=True)
+from retort.functions.shared import checkpoint
 
 
 def _with_min(e: DataFrame) -> DataFrame:
@@ -50,11 +43,12 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, max_rounds: int = 60, one_task_below: int = 0) -> DataFrame:
     """edges (a, b), any order, repeats and loops allowed -> node, component (its least node).
 
-    Only nodes with an edge to another appear: a node alone is its own component. Fewer links than one_task_below (counted) are
-    joined by union-find in one executor task; any number more takes the rounds.
+    Only nodes with an edge to another appear: a node alone is its own component. Each partition first contracts its own links to stars.
+    Fewer links than one_task_below (counted) are joined by union-find in one executor task; any number more takes the rounds.
     """
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = reliable_checkpoint(e), None
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    stars = e.mapInArrow(_union_find, "node long, component long").where("node <> component")
+    e, seen = checkpoint(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).distinct()), None
     if one_task_below and e.limit(one_task_below).count() < one_task_below:
         return e.coalesce(1).mapInArrow(_union_find, "node long, component long")
     for _ in range(max_rounds):
@@ -62,7 +56,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task_below:
         large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         low = _with_min(large)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = reliable_checkpoint(small)
+        e = checkpoint(small)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()

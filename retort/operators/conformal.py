@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retort.operators.components import reliable_checkpoint
+from retort.functions.shared import checkpoint
 
 
 def check_confidence(c: float) -> float:
@@ -60,7 +60,7 @@ def p_values(cal: DataFrame, test: DataFrame, mondrian: bool = False) -> DataFra
     u = cal.select(group.alias("g"), F.col("score").alias("s"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("int").alias("label"), F.lit(1).alias("c"))
     u = u.union(test.select(group.alias("g"), F.col("score"), F.col("row_id").cast("long"), F.col("label").cast("int"), F.lit(0)))
     # written before it is counted: range bounds come from a sample, and would not be the same the second time
-    u = reliable_checkpoint(u.repartitionByRange("g", F.desc("s")).withColumn("part", F.spark_partition_id()))
+    u = checkpoint(u.repartitionByRange("g", F.desc("s")).withColumn("part", F.spark_partition_id()))
     # equal scores meet in one partition; among them all calibration rows count
     w = Window.partitionBy("part", "g").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counts: dict = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retort.operators.components import reliable_checkpoint
+from retort.functions.shared import checkpoint
 
 
 def number_in_order(values: DataFrame, col: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def number_in_order(values: DataFrame, col: str, name: str) -> DataFrame:
     bounds come from a sample, and would not be the same the second time.
     """
     d = values.select(col).repartitionByRange(col).sortWithinPartitions(col).select(col, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    d = reliable_checkpoint(d)
+    d = checkpoint(d)
     offset, at = [], 0
     for r in sorted(d.groupBy("_p").agg(F.count("*").alias("n")).collect()):
         offset += [F.lit(r["_p"]), F.lit(at)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.operators.cluster import connected_component_clustering
-from retort.operators.components import reliable_checkpoint
+from retort.functions.shared import checkpoint
 from retort.operators.similarity import tanimoto_knn
 from retort.operators.splits import ordinal_codes
 from retort.plans.errors import error_filter, reinsert, rejected
@@ -78,21 +78,21 @@ def q_scaffold_clusters(spark, sf_dir):
 
 def fingerprint_classes(spark, sf_dir):
     """row_id, class, bits of every row of molecules that can be read; class is the least row_id of those with the same fingerprint."""
-    f = reliable_checkpoint(Plan(READ, (), (Step.of("bits", "morgan_bits"),)).apply(molecules(spark, sf_dir)).where("err IS NULL").select("row_id", "bits"))
+    f = checkpoint(Plan(READ, (), (Step.of("bits", "morgan_bits"),)).apply(molecules(spark, sf_dir)).where("err IS NULL").select("row_id", "bits"))
     least = f.groupBy("bits").agg(F.min("row_id").alias("class"))
     return f.join(least.withColumnRenamed("bits", "b"), F.col("bits") == F.col("b")).select("row_id", "class", "bits")
 
 
 def q_molecule_knn(spark, sf_dir):
     """The two nearest classes (t_id, its least row_id) of every row; its own class is class, whose members are the rows with that value."""
-    c = reliable_checkpoint(fingerprint_classes(spark, sf_dir))
+    c = checkpoint(fingerprint_classes(spark, sf_dir))
     f = c.where("row_id = class").select("row_id", "bits")
     near = tanimoto_knn(f, f, 2, 2048).withColumnRenamed("q_id", "class")
     return c.select("row_id", "class").join(near, "class").select(F.col("row_id").alias("q_id"), "class", F.col("rank").cast("long").alias("rank"), "t_id", F.round("similarity", 6).alias("similarity"))
 
 
 def q_molecule_components(spark, sf_dir):
-    c = reliable_checkpoint(fingerprint_classes(spark, sf_dir))
+    c = checkpoint(fingerprint_classes(spark, sf_dir))
     found = connected_component_clustering(c.where("row_id = class").select("row_id", "bits"), 0.2).withColumnRenamed("row_id", "class")
     return c.select("row_id", "class").join(found, "class").select("row_id", F.col("cluster").cast("long").alias("cluster"))
 

@@ -7,14 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="retort-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+from retort.functions.shared import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
