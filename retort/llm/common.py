@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.functions.shared import checkpoint, shared_folder
+
+__all__ = ["WS", "buckets_for", "checkpoint", "fresh", "input_bytes", "let", "shared_folder", "table"]
+
 #: White space of every word contract: blank and the controls 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -17,25 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="retort-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a costly expression once, so that the optimiser cannot inline it into a lambda that runs per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate (file sizes for a scan); no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

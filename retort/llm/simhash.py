@@ -32,12 +32,6 @@ from retort.llm.common import checkpoint, table
 from retort.operators.components import connected_components
 
 BITS, SEGMENTS, CROWD = 2, 5, 64
-#: Independent fingerprints for link_any.
-FINGERPRINTS = 12
-#: keep_representatives: words of a shingle; least similarity (as a fraction).
-STAGE_WORDS, SIMILARITY = 5, (4, 5)
-#: Its candidates agree in all hash functions of a band. At similarity 0.8, a pair shares none with the chance (1 - 0.8**5)**40 = 1.2e-7.
-BANDS, BAND_ROWS, STAR_ROUNDS = 40, 5, 3
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 
 
@@ -48,7 +42,7 @@ def _signed(x: int) -> int:
 _SEGMENT = [((1 << _EDGES[i + 1]) - 1) ^ ((1 << _EDGES[i]) - 1) for i in range(SEGMENTS)]
 
 
-def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
@@ -64,7 +58,7 @@ def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([h(line[s:e], 42) for s, e in zip(starts, ends)], np.uint64)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         part = hashes[i : i + (1 << 15)]
@@ -74,33 +68,29 @@ def _majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash."""
-    return _majority(_shingle_hashes(text, words))
+    return majority(shingle_hashes(text, words))
 
 
 @np.errstate(over="ignore")
-def more_fingerprints(text: str | None, words: int = 3, n: int = 1) -> list[int]:
-    """n independent SimHashes: the first is fingerprint(); each other one mixes the shingle hashes anew."""
-    h = _shingle_hashes(text, words)
-    out = [_majority(h)]
-    for k in range(1, n):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(32))))
-    return out
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes mixed anew for the k-th of independent fingerprints; none at 0."""
+    if not k:
+        return hashes
+    x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n: int = 1) -> DataFrame:
-    """-> doc_id, fp (signed long); for n > 1 fps, an array of n independent ones."""
-    kind, many = docs.schema[id_col].dataType.simpleString(), n > 1
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """-> doc_id, fp (signed long)."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [more_fingerprints(t.as_py(), words, n) for t in b.column(1)]
-            flat = pa.array(np.array([x for f in found for x in f], np.uint64).view(np.int64))
-            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n), flat) if many else flat
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fps" if many else "fp"])
+            found = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fps array<long>" if many else f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _mask(*segments: int) -> int:
@@ -118,30 +108,34 @@ def _chain_holds(x: Column, y: Column, start: Column) -> Column:
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
-    """fps: distinct k, fp (k tells independent fingerprints apart) -> k, x, y: links whose components are those of all pairs within BITS bits."""
-    keys = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(i, i + 1)))).alias("key")) for i in range(SEGMENTS)])
-    keyed = fps.select("k", "fp", F.explode(keys).alias("s")).select("k", "fp", "s.seg", "s.key")
-    met = keyed.groupBy(F.col("k").alias("h"), F.col("seg").alias("s"), F.col("key").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
-    keyed = checkpoint(keyed.join(met, (F.col("k") == F.col("h")) & (F.col("seg") == F.col("s")) & (F.col("key") == F.col("q"))).select("k", "fp", "seg", "key", "n"))
+    """fps: distinct fp -> x, y: links whose components are those of all pairs within BITS bits."""
+    keys = [F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(i, i + 1)))).alias("key")) for i in range(SEGMENTS)]
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("s")).select("fp", "s.seg", "s.key")
+    met = keyed.groupBy("seg", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = checkpoint(keyed.join(met, ["seg", "key"]))
     few, many = keyed.where(F.col("n") <= CROWD), keyed.where(F.col("n") > CROWD)
     l, r = few.alias("l"), few.alias("r")
-    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.seg") == F.col("r.seg")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
-    pairs = l.join(r, same & _chain_holds(F.col("l.fp"), F.col("r.fp"), F.col("l.seg"))).select("l.k", F.col("l.fp").alias("x"), F.col("r.fp").alias("y"))
-    free = F.get(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64) if not _mask(i, i + 1) >> b & 1]) for i in range(SEGMENTS)]), F.col("seg"))
-    stars = many.select("k", "fp", "seg", F.explode(F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("at"))
-    stars = stars.groupBy("k", "seg", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = stars.select("k", F.array_min("fps").alias("x"), F.explode("fps").alias("y")).where("x <> y")
+    same = (F.col("l.seg") == F.col("r.seg")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    chain = _chain_holds(F.col("l.fp"), F.col("r.fp"), F.col("l.seg"))
+    pairs = l.join(r, same & chain).select(F.col("l.fp").alias("x"), F.col("r.fp").alias("y"))
+
+    # crowded keys: one-bit variants over the bits outside the key
+    bits = [[F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64) if not _mask(i, i + 1) >> b & 1]] for i in range(SEGMENTS)]
+    free = F.get(F.array(*[F.array(*b) for b in bits]), F.col("seg"))
+    variants = many.select("fp", "seg", F.explode(F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("at"))
+    stars = variants.groupBy("seg", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = stars.select(F.array_min("fps").alias("x"), F.explode("fps").alias("y")).where("x <> y")
     return pairs.union(stars)
 
 
 def link_classes(fps: DataFrame) -> DataFrame:
     """(doc_id, fp) -> fp, part (a fingerprint of the component), component_id: one row for each distinct fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = near_pairs(classes.select(F.lit(0).alias("k"), "fp"))
+    links = near_pairs(classes.select("fp"))
     parts = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
-    least = known.groupBy(F.col("part").alias("p")).agg(F.min("rep").alias("component_id"))
-    return known.join(least, F.col("part") == F.col("p")).select("fp", "part", "component_id")
+    least = known.groupBy("part").agg(F.min("rep").alias("component_id"))
+    return known.join(least, "part").select("fp", "part", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -151,131 +145,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(parts, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def link_any(texts: DataFrame) -> DataFrame:
-    """texts: distinct node (long), fps -> node, part: components of the links by any of the fingerprints."""
-    each = texts.select("node", F.posexplode("fps").alias("k", "fp"))
-    least = checkpoint(each.groupBy("k", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    equal = each.join(least.where("n > 1").select(F.col("k").alias("h"), F.col("fp").alias("f"), "first"), (F.col("k") == F.col("h")) & (F.col("fp") == F.col("f")))
-    near = near_pairs(least.select("k", "fp"))
-    x = least.select(F.col("k").alias("kx"), F.col("fp").alias("fx"), F.col("first").alias("a"))
-    y = least.select(F.col("k").alias("ky"), F.col("fp").alias("fy"), F.col("first").alias("b"))
-    near = near.join(x, (F.col("k") == F.col("kx")) & (F.col("x") == F.col("fx"))).select("k", "y", "a").join(y, (F.col("k") == F.col("ky")) & (F.col("y") == F.col("fy")))
-    parts = connected_components(near.select("a", "b").union(equal.select(F.col("node").alias("a"), F.col("first").alias("b"))))
-    return texts.join(parts.select(F.col("node").alias("m"), "component"), F.col("node") == F.col("m"), "left").select("node", F.coalesce("component", "node").alias("part"))
-
-
-def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
-    """Distinct hashes of the shingles, as signed longs in order."""
-    return np.unique(_shingle_hashes(text, words).view(np.int64))
-
-
-_RNG = np.random.default_rng(42)
-_XOR, _MUL = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(low) for low in (0, 1))
-
-
-@np.errstate(over="ignore")
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys: each stands for its number and the least values of BAND_ROWS hash functions over the set."""
-    h, least = shingles.view(np.uint64), np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(h), 2048):  # bounded memory for very long texts
-        np.minimum(least, ((h[i : i + 2048, None] ^ _XOR) * _MUL).min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
-
-
-def _banded(rows: DataFrame) -> DataFrame:
-    """rows: node, text -> node, size (distinct shingles), keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(1)]
-            flat = pa.array(np.concatenate([band_keys(x) for x in sets]) if sets else np.zeros(0, np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), keys], ["node", "size", "keys"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, size long, keys array<long>")
-
-
-def _shingled(rows: DataFrame) -> DataFrame:
-    """rows: node, text -> node, set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "set"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, set array<long>")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs: a, b -> those whose shingle sets have a Jaccard similarity of SIMILARITY or more; two empty sets are equal."""
-    pairs = checkpoint(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    texts = rows.join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = checkpoint(_shingled(texts))
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("s")), sets.select(F.col("node").alias("b"), F.col("set").alias("t"))
-    both, total = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
-    top, below = SIMILARITY
-    return checkpoint(pairs.join(x, "a").join(y, "b").where(both * below >= (total - both) * top).select("a", "b"))
-
-
-def jaccard_links(rows: DataFrame) -> DataFrame:
-    """rows: node, text (equal nodes, equal texts) -> a, b: links whose components are those of all pairs of similarity SIMILARITY or more.
-
-    Pairs that share a band key are compared exactly. Under a key of at most CROWD nodes that is every pair. Under any other, each node is first
-    compared with one chosen by a hash, another in each of STAR_ROUNDS rounds; what is by then in one component needs no link, and
-    every pair of nodes in different components is compared last.
-    """
-    banded = checkpoint(_banded(rows).dropDuplicates(["node"]))
-    keyed = banded.select("node", "size", F.explode("keys").alias("key"))
-    met = keyed.groupBy(F.col("key").alias("q")).agg(F.count("*").alias("n")).where("n > 1")
-    keyed = checkpoint(keyed.join(met, F.col("key") == F.col("q")).select("key", "node", "size", "n"))
-    top, below = SIMILARITY
-    fits = lambda x, y: (F.col(x) * below >= F.col(y) * top) & (F.col(y) * below >= F.col(x) * top)
-    few, many = keyed.where(F.col("n") <= CROWD), keyed.where(F.col("n") > CROWD)
-    l, r = few.alias("l"), few.alias("r")
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & fits("l.size", "r.size"))
-    links = _verified(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")), rows)
-    if many.isEmpty():
-        return links
-    for i in range(STAR_ROUNDS + 1):
-        parts = connected_components(links).select(F.col("node").alias("m"), "component")
-        left = checkpoint(many.join(parts, F.col("node") == F.col("m"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("part")))
-        split = left.groupBy(F.col("key").alias("q")).agg(F.min("part").alias("p"), F.max("part").alias("z"), F.min_by(F.struct("node", "size", "part"), F.xxhash64("node", F.lit(i))).alias("hub")).where("p < z")
-        many = checkpoint(left.join(split, F.col("key") == F.col("q")).select("key", "node", "size", "part", "hub"))
-        if many.isEmpty():
-            break
-        if i < STAR_ROUNDS:
-            pairs = many.where((F.col("part") != F.col("hub.part")) & fits("size", "hub.size")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        else:
-            l, r = many.alias("l"), many.alias("r")
-            apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.part") != F.col("r.part"))
-            pairs = l.join(r, apart & fits("l.size", "r.size")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        links, many = checkpoint(links.union(_verified(pairs, rows))), many.select("key", "node", "size")
-    return links
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, all columns: the least id (nulls last), then the least text hash. Repeated rows are copies.
-
-    Texts are linked where the sets of their STAGE_WORDS-word shingles have an exact Jaccard similarity of SIMILARITY or more.
-    """
-    temp = [c for c in ("__key", "__id", "__k") if c in docs.columns]
-    if temp:
-        raise ValueError(f"columns reserved: {temp}")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(text)
-    rows = docs.select(F.xxhash64(text).alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"), text.alias("text"))
-    parts = connected_components(jaccard_links(rows.select("node", "text"))).select(F.col("node").alias("m"), "component")
-    texts = rows.groupBy("node").agg(F.min("row").alias("best"))
-    parted = texts.join(parts, F.col("node") == F.col("m"), "left").select("best", F.coalesce("component", "node").alias("part"))
-    kept = parted.groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__k"))
-    out = docs.withColumn("__key", key).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
-    return out.dropDuplicates([id_col, "__key"]).drop("__key")
-
-
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

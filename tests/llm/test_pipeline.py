@@ -1,26 +1,32 @@
 import random
 
 import corpus_pipeline
-from retort.llm import decontaminate, language_id, pii, simhash
+from retort.llm import decontaminate, language_id, near_copies, pii
 from retort.llm.common import table
 
 D = "/root/testdata/sf0.001"
 
 
+def brute_classes(texts):
+    """By index the least index that links of five-word Jaccard 0.8 or more reach, over all pairs."""
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    part = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and part[i] != part[j]:
+                a, b = sorted((part[i], part[j]))
+                part = [a if p == b else p for p in part]
+    return part
+
+
 def test_stages_keep_what_they_should(spark):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, D).collect()}
     docs = {r.doc_id: r.text for r in table(spark, D, "documents").collect()}
     fit = language_id.fit(language_id.known_documents(table(spark, D, "documents")))
-    left = {i for (i, t), p in zip(docs.items(), language_id.predict(fit, list(docs.values()))) if p[0] != "und"}
-    fp = {i: simhash.more_fingerprints(docs[i], 3, simhash.FINGERPRINTS) for i in left}
-    part = {i: i for i in left}
-    for i in sorted(left):  # links by brute force
-        for j in sorted(left):
-            if j < i and any((x ^ y).bit_count() <= 2 for x, y in zip(fp[i], fp[j])):
-                a, b = part[i], part[j]
-                part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    left = sorted(i for (i, t), p in zip(docs.items(), language_id.predict(fit, list(docs.values()))) if p[0] != "und")
+    kept = [left[p] for p in set(brute_classes([docs[i] for i in left]))]
     m = decontaminate.Matcher([(r.item_id, r.text) for r in table(spark, D, "benchmark").collect()])
-    want = {i for i in set(part.values()) if not m.find(docs[i])}
+    want = {i for i in kept if not m.find(docs[i])}
     assert set(out) == want and all(r.round_trip for r in out.values())
     assert any(pii.redact(docs[i]) != docs[i] for i in want)
 
@@ -31,25 +37,50 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_with_long_texts_repeats_nulls_and_clashing_names(spark, tmp_path):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in table(spark, D, "documents").limit(40).collect()]
+    long = " ".join(rows[0][1].split()[:50] * 400)
+    rows += [rows[3], rows[3], (None, rows[4][1], None, None), (900, None, "en", "s"), (901, long, "en", "s"), (902, "", "en", "s")]
+    names = ["at", "node", "key", "__key", "hub", "set", "part", "size", "id", "row"]
+    d = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, D, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert len(set(ids)) == len(ids) and 901 in ids and not {None, 900, 902} & set(ids)
+    stage = near_copies.keep_representatives(d)
+    assert stage.columns == d.columns and stage.where("doc_id = 3").count() <= 1
+
+
+def some_texts(rng, groups, copies, words):
+    texts = ["", None, " \n", "A b", "a  B", "one two three four five six", "one two three four five six"]
+    for _ in range(groups):  # copies from near to far, and chains of them
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for changes in [0, *[rng.randint(0, 6) for _ in range(copies)]]:
+            words_ = list(base)
+            for _ in range(changes):
+                words_[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words_))
+        texts.append(" ".join(base * 30))  # the same shingles many times over
+    return texts
+
+
 def test_near_dedup_stage_is_five_word_jaccard(spark, monkeypatch):
     rng = random.Random(3)
-    texts = ["", None, "A b", "a  B"]
-    for _ in range(4):  # copies from near to far, and chains of them
-        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-        for changes in [0, *[rng.randint(0, 6) for _ in range(25)]]:
-            words = list(base)
-            for _ in range(changes):
-                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(words))
-    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
-    part = list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if 5 * len(x & y) >= 4 * len(x | y):
-                a, b = part[i], part[j]
-                part = [min(a, b) if p in (a, b) else p for p in part]
+    texts = some_texts(rng, 4, 25, 120) + some_texts(rng, 3, 25, 30)
+    want = set(brute_classes(texts))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for crowd, rounds in ((64, 3), (2, 3), (2, 0)):
-        monkeypatch.setattr(simhash, "CROWD", crowd)
-        monkeypatch.setattr(simhash, "STAR_ROUNDS", rounds)
-        assert {r.doc_id for r in simhash.keep_representatives(d).collect()} == set(part)
+    for rows, shingles in ((4096, 1 << 21), (7, 1 << 21), (4096, 500)):  # one block, and many
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", shingles)
+        assert {r.doc_id for r in near_copies.keep_representatives(d).collect()} == want
+
+
+def test_simhash_budget_keeps_pairs_of_the_least_similarity():
+    rng, over = random.Random(9), 0
+    for _ in range(400):
+        n = rng.choice([64, 65, 150, 800])
+        words = [f"w{rng.randrange(10**7)}" for _ in range(n + n // 4)]  # sets of n and 5/4 n: similarity 0.8
+        x, y = near_copies.shingle_set(" ".join(words[:n]), 1), near_copies.shingle_set(" ".join(words), 1)
+        over += sum(int(a ^ b).bit_count() for a, b in zip(near_copies.prints(x), near_copies.prints(y))) > near_copies.BUDGET
+    assert over == 0

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from retort.llm import decontaminate, language_id, pii, quality_classifier, sentencepiece_lattice, simhash, suffix_dedup
+from retort.llm import decontaminate, language_id, near_copies, pii, quality_classifier, sentencepiece_lattice, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string, fp string, key string, lang string"
 
@@ -105,7 +105,7 @@ def test_links_cover_every_pair_within_two_bits(spark, monkeypatch):
 def test_representatives_with_copies_nulls_and_extra_columns(spark):
     texts = ["a b c d", "A b c d", "q r s t", None, "", "q r s t"]
     d = docs(spark, texts).union(spark.createDataFrame([(2, "q r s t", "x", "y", "en"), (None, "lone words here now", "x", "y", "en")], DOCS))
-    kept = simhash.keep_representatives(d)
+    kept = near_copies.keep_representatives(d)
     assert kept.columns == d.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 2), (False, 3), (True, 0)]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
