@@ -9,8 +9,10 @@ which is checked when it is loaded, so the lattice of a text is a chain of the l
 a worker (a bounded table, of which the less used part goes when it is full) and the N best of the chain come from the least losses of its words by one
 more best-first search.
 
-Scores: a unigram model's own; a BPE model holds merge ranks r instead, taken as ``-ln(r + 2)``, which is Zipf's law
-for the frequency of the piece of that rank. Characters without a piece fall back to their UTF-8 byte pieces.
+Scores: a unigram model's own. A BPE model has no additive scores: its own segmentation comes from merging in the order of ranks. Here a
+segmentation scores the pieces by which it departs from that one, each with ``-ln(rank + 2)``, Zipf's law for a piece of that rank, less
+``DEPART``; pieces of the model's own segmentation are free. So the best path is the model's own, score 0, and the N best follow it by the
+cost of their departures. Characters without a piece fall back to their UTF-8 byte pieces.
 Decoding joins the pieces and turns blanks back; encoding then decoding returns every text exactly, but that the model
 itself cannot tell its blank (U+2581) in a text from a space.
 
@@ -26,7 +28,8 @@ import math
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from retort.llm.common import table
 
 MODEL = os.environ.get("RETORT_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST, CACHED_WORDS = 3, 400_000
+#: What a piece outside a BPE model's own segmentation costs beside its own score.
+DEPART = 1.0
 BLANK = "\u2581"
 #: Blanks with the letters, or with the other characters, that follow; the boundaries that no piece crosses.
 _RAISED = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"  # digits that the expression would count as letters
@@ -52,16 +57,12 @@ class Pieces:
         scores = [sp.get_score(i) for i in range(n)]
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         ranks = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in normal)
-        self.score = {sp.id_to_piece(i): (-math.log(2 - scores[i]) if ranks else scores[i], i) for i in normal}
+        #: BPE: the rank of each piece; None for a unigram model.
+        self.rank = {sp.id_to_piece(i): -scores[i] for i in normal} if ranks else None
+        self.score = {sp.id_to_piece(i): (-math.log(2 - scores[i]) - DEPART if ranks else scores[i], i) for i in normal}
         if any(len(_CHUNK.findall(p.replace(BLANK, " "))) != 1 for p in self.score):
             raise ValueError("a piece crosses a boundary; the lattice is not a chain of words")
-        #: A trie of the pieces: by character (its node, score, ids), where score is None if no piece ends there.
-        self.trie: dict[str, tuple[dict, float | None, tuple[int, ...]]] = {}
-        for p in sorted(self.score):
-            node = self.trie
-            for c in p[:-1]:
-                node = node.setdefault(c, ({}, None, ()))[0]
-            node[p[-1]] = ({}, self.score[p][0], (self.score[p][1],))
+        self.trie, self.back = self._trie(lambda p: p), self._trie(lambda p: p[::-1])
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_score = min((s for s, _ in self.score.values()), default=0.0) - 10.0
         self.bytes_of = [b""] * n
@@ -70,18 +71,69 @@ class Pieces:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
 
-    def forward(self, word: str, edges: list[list] | None = None) -> tuple[list[tuple], list[float], float]:
-        """Viterbi: by position the edge (start, score, ids) that its best score ends with; the best scores; the second best of the whole.
-
-        edges, if given, gets every edge of the lattice by its end.
-        """
-        end, trie = len(word), self.trie
+    def _trie(self, order) -> dict[str, tuple[dict, float | None, tuple[int, ...]]]:
+        """By character (its node, score, ids), where score is None if no piece ends there."""
+        root: dict = {}
+        for p in sorted(self.score, key=order):
+            node, q = root, order(p)
+            for c in q[:-1]:
+                node = node.setdefault(c, ({}, None, ()))[0]
+            node[q[-1]] = (node[q[-1]][0] if q[-1] in node else {}, self.score[p][0], (self.score[p][1],))
+        return root
+
+    def merged(self, word: str) -> list[int]:
+        """BPE: the ends of the pieces, by merging the neighbours of least rank, the leftmost first. n log n for long words."""
+        rank, parts = self.rank.get, list(word)
+        if len(parts) <= 48:
+            cost = [rank(a + b, math.inf) for a, b in zip(parts, parts[1:])]
+            while cost:
+                least = min(cost)
+                if least == math.inf:
+                    break
+                i = cost.index(least)
+                parts[i] += parts.pop(i + 1)
+                del cost[i]
+                if i < len(cost):
+                    cost[i] = rank(parts[i] + parts[i + 1], math.inf)
+                if i:
+                    cost[i - 1] = rank(parts[i - 1] + parts[i], math.inf)
+            return list(accumulate(map(len, parts)))
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, both = heapq.heappop(queue)
+            j = after[i]
+            if j >= n or not parts[i] or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = both, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := rank(parts[x] + parts[y])) is not None:
+                    heapq.heappush(queue, (r, x, parts[x] + parts[y]))
+        return list(accumulate(len(p) for p in parts if p))
+
+    def own(self, word: str) -> dict[int, int] | None:
+        """Start to end of the pieces of the model's own segmentation; None for a unigram model."""
+        if self.rank is None:
+            return None
+        ends = self.merged(word)
+        return dict(zip([0, *ends], ends))
+
+    def _bytes(self, c: str) -> tuple[int, ...]:
+        return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
+
+    def forward(self, word: str, own: dict[int, int] | None) -> tuple[list[tuple], list[float], float]:
+        """Viterbi: by position the edge (start, score, ids) that its best score ends with; the best scores; the second best of the whole."""
+        end, trie, own = len(word), self.trie, own or {}
         best, second = [0.0] + [-math.inf] * end, [-math.inf] * (end + 1)
         first: list[tuple] = [()] * (end + 1)
         for i in range(end):
-            node, j, before, less, alone = trie, i, best[i], second[i], False
-            for c in word[i:]:
-                step = node.get(c)
+            node, j, before, less, alone, free = trie, i, best[i], second[i], False, own.get(i)
+            while j < end:
+                step = node.get(word[j])
                 if step is None:
                     break
                 j += 1
@@ -89,9 +141,9 @@ class Pieces:
                 if score is None:
                     continue
                 alone |= j == i + 1
+                if j == free:
+                    score = 0.0
                 new = before + score
-                if edges is not None:
-                    edges[j].append((i, score, ids))
                 old = best[j]
                 if new > old:
                     best[j], first[j] = new, (i, score, ids)
@@ -100,10 +152,8 @@ class Pieces:
                 elif new > second[j]:
                     second[j] = new
             if not alone:
-                ids = tuple(self.byte[b] for b in word[i].encode("utf-8", "surrogatepass"))
-                edge = (i, self.byte_score * len(ids), ids)
-                if edges is not None:
-                    edges[i + 1].append(edge)
+                ids = self._bytes(word[i])
+                edge = (i, 0.0 if free else self.byte_score * len(ids), ids)
                 new, old = before + edge[1], best[i + 1]
                 if new > old:
                     best[i + 1], first[i + 1], second[i + 1] = new, edge, max(old, less + edge[1])
@@ -111,31 +161,46 @@ class Pieces:
                     second[i + 1] = new
         return first, best, second[end]
 
-    def best_and_loss(self, word: str) -> tuple[tuple[int, ...], float, float]:
+    def edges_to(self, word: str, at: int, own: dict[int, int] | None) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        """The edges (start, score, ids) that end at a position."""
+        node, i, alone = self.back, at, False
+        while i:
+            step = node.get(word[i - 1])
+            if step is None:
+                break
+            i -= 1
+            node, score, ids = step
+            if score is not None:
+                alone |= i == at - 1
+                yield i, 0.0 if own and own.get(i) == at else score, ids
+        if not alone:
+            ids = self._bytes(word[at - 1])
+            yield at - 1, 0.0 if own and own.get(at - 1) == at else self.byte_score * len(ids), ids
+
+    def best_and_loss(self, word: str) -> tuple[list[int], float, float]:
         """(ids, score) of the best segmentation, and what the second best loses (infinite if there is none)."""
-        first, best, second = self.forward(word)
-        at, path = len(word), ()
+        first, best, second = self.forward(word, self.own(word))
+        at, path = len(word), []
         while at:
             at, _, ids = first[at]
-            path = ids + path
-        return path, best[-1], best[-1] - second
+            path.append(ids)
+        return [i for ids in reversed(path) for i in ids], best[-1], best[-1] - second
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first (fewer if there are no more)."""
-        end = len(word)
-        edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(end + 1)]
-        first, best, _ = self.forward(word, edges)
+        own = self.own(word)
+        first, best, _ = self.forward(word, own)
         # A*: the heuristic is exact, so a node taken from the queue is followed along its best edges at once (they have
         # its own score and would be taken next); the other edges on the way are queued by the score of the whole
         out: list[tuple[float, tuple[int, ...]]] = []
         queue: list[tuple] = []
-        order, at, after, path = 0, end, 0.0, ()
+        order, at, after, path = 0, len(word), 0.0, ()
         while True:
             while at:
                 take = first[at]
                 if len(out) + 1 < n:
-                    for edge in edges[at]:
-                        if edge != take:
+                    for edge in self.edges_to(word, at, own):
+                        if edge[0] != take[0]:
                             order += 1
                             heapq.heappush(queue, (-(best[edge[0]] + edge[1] + after), order, edge[0], edge[1] + after, (edge[2], path)))
                 path, after, at = (take[2], path), after + take[1], take[0]
@@ -170,7 +235,7 @@ class Encoder:
         self._append(word, *self.pieces.best_and_loss(word.replace(" ", BLANK)))
         return self.number[word]
 
-    def _append(self, word: str, ids: tuple[int, ...], score: float, loss: float) -> None:
+    def _append(self, word: str, ids: Iterable[int], score: float, loss: float) -> None:
         self.number[word] = len(self.score)
         self.score.append(score), self.loss.append(loss), self.at.append(len(self.pool)), self.size.append(len(ids)), self.pool.extend(ids)
 

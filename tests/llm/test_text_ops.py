@@ -111,7 +111,8 @@ def test_representatives_with_copies_nulls_and_extra_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def brute_segmentations(p, word, n):
+def brute_segmentations(p, word, n, own):
+    """(score, ids) over all segmentations; own: start to end of the pieces that are free."""
     out = []
 
     def go(i, s, ids):
@@ -121,10 +122,10 @@ def brute_segmentations(p, word, n):
         for j in range(i + 1, len(word) + 1):
             if word[i:j] in p.score:
                 s1, k = p.score[word[i:j]]
-                go(j, s + s1, [*ids, k])
+                go(j, s + (0.0 if own.get(i) == j else s1), [*ids, k])
         if word[i] not in p.score:
             b = [p.byte[x] for x in word[i].encode()]
-            go(i + 1, s + p.byte_score * len(b), ids + b)
+            go(i + 1, s + (0.0 if own.get(i) == i + 1 else p.byte_score * len(b)), ids + b)
 
     go(0, 0.0, [])
     return sorted(out, key=lambda x: -x[0])[:n]
@@ -135,14 +136,85 @@ def pieces():
     return sentencepiece_lattice.Pieces()
 
 
+def library_spans(sp, text):
+    """Start to end of the library's pieces; byte pieces of one character are one."""
+    at, spans, bytes_ = 0, {}, 0
+    raised = ("\u2581" + text).replace(" ", "\u2581")
+    for i in sp.encode(text):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            bytes_ += 1
+            if bytes_ == len(raised[at].encode()):
+                spans[at], at, bytes_ = at + 1, at + 1, 0
+        else:
+            spans[at] = at = at + len(piece)
+    return {a: b for a, b in zip([0, *spans.values()], spans.values())}
+
+
 def test_n_best_equals_all_segmentations(pieces):
-    e = sentencepiece_lattice.Encoder(pieces, 4)
-    for t in ["the cat", "hello a", "Ñ x", "a\nbc", "a  b", "x²."]:
-        want, got = brute_segmentations(pieces, ("▁" + t).replace(" ", "▁"), 4), e.encode(t)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    e, rng = sentencepiece_lattice.Encoder(pieces, 4), random.Random(4)
+    texts = ["the cat", "hello a", "\u00d1 x", "a\nbc", "a  b", "x\u00b2.", "\U0001f600 in"]
+    for t in texts + ["".join(rng.choice("aeinst \u00e9") for _ in range(rng.randint(1, 9))) for _ in range(40)]:
+        want, got = brute_segmentations(pieces, ("\u2581" + t).replace(" ", "\u2581"), 4, library_spans(sp, t)), e.encode(t)
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
-        for s, ids in got:
-            assert e.decode(ids) == t
-            assert s == pytest.approx(sum(pieces.score[b.decode()][0] if (b := pieces.bytes_of[i]).decode("utf-8", "ignore") in pieces.score else pieces.byte_score for i in ids.tolist()))
+        assert got[0][1].tolist() == sp.encode(t) and got[0][0] == 0
+        assert len({tuple(i) for _, i in got}) == len(got) and all(e.decode(ids) == t for _, ids in got)
+
+
+def test_best_segmentation_is_the_librarys(spark, pieces):
+    import sentencepiece
+
+    from retort.llm.common import table
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    texts = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    got = sentencepiece_lattice.op4_sentencepiece_nbest(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sp.encode(texts[r.doc_id] or "")
+        assert r.piece_ids == want and r.n_pieces == len(want) and r.score == 0 and r.round_trip
+        assert (r.alt_sha256 is None) == (not r.next_scores) and r.next_scores == sorted(r.next_scores, reverse=True)
+    e, rng = sentencepiece_lattice.Encoder(pieces), random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice("ab  \n\tThe1\u00b2\u00e9\u4e2d\u6587\U0001f600_-=x") for _ in range(rng.randint(0, 120)))
+        assert e.encode(t)[0][1].tolist() == sp.encode(t)
+    run = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    assert e.encode(run)[0][1].tolist() == sp.encode(run)
+
+
+def unigram_model(scores):
+    """A model file, written by hand: pieces with scores, unigram, blanks kept."""
+    def field(n, kind, data):
+        return bytes([n << 3 | kind]) + (bytes([len(data)]) if kind == 2 else b"") + data
+
+    def piece(p, score, kind):
+        return field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.float32(score).tobytes()) + field(3, 0, bytes([kind])))
+
+    head = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    return head + b"".join(piece(p, s, 1) for p, s in scores.items()) + field(2, 2, field(3, 0, b"\x01"))
+
+
+def test_n_best_of_a_unigram_model_is_the_librarys():
+    import sentencepiece
+
+    rng = random.Random(6)
+    scores = {c: -rng.uniform(5, 7) for c in "abcd\u2581"}
+    for _ in range(60):
+        p = rng.choice(["", "\u2581"]) + "".join(rng.choice("abcd") for _ in range(rng.randint(2, 4)))
+        scores.setdefault(p, -rng.uniform(2, 12))
+    model = unigram_model(scores)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    e = sentencepiece_lattice.Encoder(sentencepiece_lattice.Pieces(model), 5)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+        want = sp.nbest_encode_as_ids(t, 5)
+        total = lambda ids: sum(sp.get_score(i) for i in ids)
+        got = e.encode(t)
+        assert [s for s, _ in got] == pytest.approx([total(w) for w in want], abs=1e-4)
+        assert got[0][1].tolist() == sp.encode(t)
 
 
 def test_round_trips_and_library_decodes(pieces):
