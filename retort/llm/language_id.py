@@ -11,12 +11,14 @@ languages stand in one array, and thousands of text pieces step through it at on
 of ``PIECE`` characters, which adds at most one phrase a piece and language and bounds the length of the loop.
 
 Learning uses text and language alone, of at most ``TRAIN_DOCS`` documents a language (first by a hash of their id)
-with at most ``DOC_CHARS`` characters from the middle of each and ``TRAIN_CHARS`` in all: a bound that does not grow
-with the corpus. Every whole text is predicted.
+with at most ``DOC_CHARS`` characters from the middle of each and ``TRAIN_CHARS`` in all. With many languages each has an equal share of
+``ALL_DOCS`` documents (one at least) and ``ALL_CHARS`` characters: bounds that do not grow with the corpus, and that hold the table
+of all automata (two states a character, 122 columns of four bytes) under 650 MB. The ``ALPHABET`` most frequent characters of the training
+text have codes; any other ends a phrase. Every whole text is predicted.
 
 Defined results: ``und`` with score 0 for a null text, an empty one or one without letters; equal entropies go to the
 language first in order; languages are learned from non-null labels; with nothing to learn from every text is ``und``;
-repeated rows are predicted one by one; columns beyond those named are ignored.
+repeated rows are predicted one by one, and learned once; a document without an id is not learned from and not held out; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from pyspark.sql.window import Window
 
 from retort.llm.common import table
 
-TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS, MOST_LANGS = 200, 1000, 40_000, 64
+TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 200, 1000, 40_000
+ALL_DOCS, ALL_CHARS = 12_800, 640_000
 PIECE, BATCH_CHARS, ALPHABET = 512, 1 << 20, 120
 UND = "und"
 
@@ -179,21 +182,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     """Learn from the labelled rows given; key_col orders the sample and nothing else."""
     key = F.xxhash64(F.col(key_col).cast("string"))
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text"))
-    # the group limit runs before the shuffle, so each task sends at most TRAIN_DOCS ids a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    ids = rows.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).select(F.col("lang").alias("l"), F.col("key").alias("k"))
-    ids = ids.limit(TRAIN_DOCS * MOST_LANGS)  # the proven bound of the broadcast
+    langs = rows.select("lang").distinct().count()
+    docs_each, chars_each = max(1, min(TRAIN_DOCS, ALL_DOCS // max(1, langs))), max(1, min(TRAIN_CHARS, ALL_CHARS // max(1, langs)))
+    # a row for each id, so that repeated rows do not take the place of others; the group limit runs before the shuffle
     from_ = F.greatest(F.lit(1), ((F.length("text") - DOC_CHARS) / 2).cast("int"))
-    picked = rows.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & (F.col("key") == F.col("k")))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
+    ids = rows.select("lang", "key").withColumn("rank", rank).where(F.col("rank") <= docs_each).select(F.col("lang").alias("l"), F.col("key").alias("k")).distinct()
+    ids = F.broadcast(ids) if langs <= ALL_DOCS else ids  # then ALL_DOCS rows at most
+    picked = rows.join(ids, (F.col("lang") == F.col("l")) & (F.col("key") == F.col("k"))).groupBy("lang", "key").agg(F.min(F.substr("text", from_, F.lit(DOC_CHARS))).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.select("lang", "key", F.substr("text", from_, F.lit(DOC_CHARS)).alias("text")).limit(2 * TRAIN_DOCS * MOST_LANGS).collect()):
+    for r in sorted(picked.select("lang", "key", "text").collect()):
         texts.setdefault(r.lang, []).append(r.text)
-    return train({k: "\n".join(dict.fromkeys(v))[:TRAIN_CHARS] for k, v in texts.items()})
+    return train({k: "\n".join(dict.fromkeys(v))[:chars_each] for k, v in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> id, lang_pred, score, bits_per_char."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS and MOST_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ALL_CHARS and ALPHABET
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +229,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(known_documents(docs)))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score", "bits_per_char")
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char")

@@ -3,7 +3,8 @@ r"""Personal data: patterns propose spans, checksums confirm them, context words
 Kinds: ``email``, ``ip``, ``card`` (Luhn) and ``phone`` by the base patterns, plus what the method adds: ``iban``
 (mod-97) and ``ssn`` (three groups of digits, reported only where a word near by speaks of one). Every span has a
 score: its kind's own, raised by a context word of that kind within ``NEAR`` characters. Base spans are always kept;
-added ones need ``LEAST_SCORE``.
+added ones need ``LEAST_SCORE``: an account number of a country's own length passes by its checksum alone, one of another length or of a
+country that is not listed needs a context word as well. Spans of unlike kinds may overlap, as a card's digits inside an account number.
 
 All scans are linear in the text: an address is found from its @, not by trying every start; digit runs are possessive.
 
@@ -30,6 +31,17 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social security"),
 }
 BONUS, LEAST_SCORE, NEAR = 0.4, 0.6, 40
+#: Score of an account number whose length is not that of its country.
+OTHER_LENGTH = 0.4
+# Lengths of account numbers by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -70,6 +82,14 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _account(found: str, start: int) -> list[tuple[int, int]]:
+    """The span of the account number: the whole match, or so much of it as the country has, up to a blank."""
+    if mod97(found):
+        return [(start, start + len(found))]
+    ends = [i for i, c in enumerate(found) if c == " " and len(found[:i].replace(" ", "")) == IBAN_LENGTH.get(found[:2])]
+    return [(start, start + i) for i in ends[:1] if mod97(found[:i])]
+
+
 def find_spans(text: str) -> list[tuple[int, int, int, float]]:
     """(start, index into KINDS, end, score), sorted; base matches first come as the patterns say, then the added."""
     out: list[tuple[int, int, int, float]] = []
@@ -89,15 +109,16 @@ def find_spans(text: str) -> list[tuple[int, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(m[0].translate(_NO_DIGIT)) <= 15:
                 out.append((m.start(), 3, m.end()))
-    base = list(out)
-    free = lambda m: not any(s < m.end() and m.start() < e for s, _, e in base)
-    out += [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0]) and free(m)]
-    out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text) if free(m)]
+    out += [(s, 4, e) for m in _IBAN.finditer(text) for s, e in _account(m[0], m.start())]
+    out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
     scored = []
     for s, k, e in sorted(out):
         kind = KINDS[k]
         near = text[max(0, s - NEAR) : s].lower() + " " + text[e : e + NEAR].lower()
-        score = min(1.0, SCORE[kind] + BONUS * bool(_WORD[kind].search(near)))
+        own = SCORE[kind]
+        if kind == "iban" and len(text[s:e].replace(" ", "")) != IBAN_LENGTH.get(text[s : s + 2]):
+            own = OTHER_LENGTH
+        score = min(1.0, own + BONUS * bool(_WORD[kind].search(near)))
         if k < len(BASE) or score >= LEAST_SCORE:
             scored.append((s, k, e, score))
     return scored

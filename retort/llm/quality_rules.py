@@ -15,6 +15,7 @@ labels of one document that disagree count as separate rows; columns beyond id a
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,7 +155,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
     stats = text_statistics(known.select(F.struct("k", "bad").alias("doc_id"), "text"))
     # base_failed is applied here: as a filter it would move below the join and take the statistics of every document
     rows = stats.select("doc_id.bad", "doc_id.k", base_failed().alias("failed"), *features()).collect()
-    rows = sorted((r.asDict() for r in rows if not r.failed), key=lambda r: (r["k"] * 2654435761 % (1 << 32), r["bad"]))
+    rows = sorted((r.asDict() for r in rows if not r.failed), key=lambda r: (zlib.crc32(str(r["k"]).encode()), str(r["k"]), r["bad"]))
     return learn_rules([(r, r["bad"]) for r in rows])
 
 

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLE_SQL = {"op1_chat_formatting": chat_format.OP1_SQL}
+ORACLE_SQL = {"op1_chat_formatting": chat_format.OP1_SQL, "op5_suffix_dedup": suffix_dedup.OP5_SQL}

@@ -7,7 +7,7 @@ A byte goes if some ``WIDTH``-byte string over it starts at another place too. S
    substrings, the first of equals. It depends on the window's bytes alone, so equal windows have it at the same offset. Consecutive
    windows of one minimizer form a run; a text of n bytes has about n / 91 runs. Per run, the suffix at the minimizer
    (cut where the run's last window ends) is sorted, and what stands before it, read backwards, goes along.
-2. *Exchange.* A task sorts its suffixes, front-codes each run (length of the prefix shared with the one before, and the
+2. *Exchange.* A task takes at most two copies of a text in each run, sorts its suffixes, front-codes each run (length of the prefix shared with the one before, and the
    rest), collapses equal ones, and sends the runs by a hash of the minimizer's gram, so that equal windows meet.
 3. *Merge.* A loser tree whose nodes remember the length of the common prefix with the last winner merges the sorted
    runs: unequal lengths decide without looking at a byte; equal ones compare from there on. No known prefix is read again.
@@ -117,11 +117,19 @@ class RunWriter:
     def clear(self) -> None:
         self.items: dict[tuple[bytes, bytes], list[int]] = {}
         self.hashes: list[bytes] = []
+        self.copies: dict[bytes, int] = {}
         self.size = 0
 
     def add(self, texts: list[tuple[bytes, bytes]]) -> None:
         """(hash of the text, text), the texts together of about CHUNK_BYTES at most unless there is one alone."""
-        step = (1 << _POS_BITS) - self.width
+        step, some = (1 << _POS_BITS) - self.width, []
+        for key, text in texts:  # a third copy in one run says nothing that two do not
+            self.copies[key] = self.copies.get(key, 0) + 1
+            if self.copies[key] <= 2:
+                some.append((key, text))
+            else:
+                self.size += len(text)
+        texts = some
         for key, text in texts:
             if len(text) > 1 << _POS_BITS:  # overlapping chunks: every window lies in one
                 for cut in range(0, len(text) - self.width + 1, step):
@@ -401,6 +409,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+#: The contract itself: every window is a string (two hex digits a byte), counted whole. For small tables only.
+OP5_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT k, unnest(range(0, length(h) // 2 - {WIDTH - 1})) AS pos FROM docs WHERE length(h) >= {2 * WIDTH}),
+hashed AS (SELECT w.k, w.pos, md5(substr(d.h, 2 * w.pos + 1, {2 * WIDTH})) AS m FROM windows w JOIN docs d USING (k)),
+twice AS (SELECT m FROM hashed GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT k, pos, lag(pos) OVER (PARTITION BY k ORDER BY pos) AS prev FROM hashed SEMI JOIN twice USING (m)),
+islands AS (SELECT k, pos, sum(CASE WHEN prev IS NULL OR pos > prev + {WIDTH} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS i FROM starts),
+gone AS (SELECT k, i, min(pos) AS lo, max(pos) + {WIDTH} AS hi FROM islands GROUP BY k, i),
+gaps AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS since FROM gone),
+cut AS (SELECT g.k, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS upto,
+               string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head FROM gaps g JOIN docs d USING (k) GROUP BY g.k)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.k IS NULL THEN h ELSE head || substr(h, 2 * upto + 1) END)) AS kept_sha256
+FROM docs d LEFT JOIN cut c USING (k)
+"""
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

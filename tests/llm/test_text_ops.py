@@ -1,6 +1,7 @@
 """Language ID, SimHash, pieces, suffixes, edits, grades and personal data against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -265,6 +266,25 @@ def test_suffix_merge_equals_counting_windows():
         assert [suffix_dedup.cut(t, found.get(hashlib.md5(t).digest(), [])) for t in texts] == brute_kept(texts, width)
 
 
+def test_many_copies_add_nothing_to_a_run():
+    rng = random.Random(1)
+    text, other = bytes(rng.choices(b"abcdef", k=2000)), bytes(rng.choices(b"abcdef", k=900))
+    sizes = {}
+    for copies in (2, 10_000):
+        w = suffix_dedup.RunWriter(4)
+        for _ in range(copies):
+            w.add([(b"k" * 16, text)])
+        w.add([(b"o" * 16, other + text[100:400])])
+        blocks = list(w.blocks())
+        sizes[copies] = sum(len(x) for _, x in blocks)
+        found = {}
+        for b, x in blocks:
+            for k, lo, hi in suffix_dedup.repeated_windows([suffix_dedup.read_block(x)]):
+                found.setdefault(k, []).append((lo, hi))
+        assert suffix_dedup.cut(text, found[b"k" * 16])[0] == b"" and suffix_dedup.cut(other + text[100:400], found[b"o" * 16])[0] == other
+    assert sizes[2] == sizes[10_000]
+
+
 def test_merge_order_and_prefixes():
     rng = random.Random(2)
     runs = [sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 9))) for _ in range(5)]
@@ -343,6 +363,120 @@ def test_ordinal_classifier(spark):
     assert all(r.selected for r in quality_classifier.classify(d.limit(3), none).collect())
 
 
+def test_ordinal_fit_is_the_plain_likelihoods_optimum():
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        g = i % 3
+        b = sorted(rng.sample(range(12), rng.randint(0, 5)) + [20 + (g if rng.random() < 0.7 else rng.randrange(3))])
+        rows.append((np.array(b, np.int32), np.array([rng.uniform(0.5, 2) for _ in b], np.float32), g))
+    model = quality_classifier.fit_ordinal(rows, rounds=4000, rate=0.02)
+
+    def loss(w, cuts):  # minus the log likelihood, each grade weighed by its root of frequency, and the penalty
+        n = Counter(g for *_, g in rows)
+        share = {g: n[g] ** -0.5 / sum(m**0.5 for m in n.values()) for g in n}
+        out = 0.5e-4 * sum(x * x for x in w.values())
+        for b, v, g in rows:
+            z = sum(w.get(int(i), 0.0) * float(x) for i, x in zip(b, v))
+            below = lambda t: 1 / (1 + math.exp(z - t))
+            p = (1.0 if g == 2 else below(cuts[g])) - (0.0 if g == 0 else below(cuts[g - 1]))
+            out -= share[g] * math.log(p)
+        return out
+
+    w = {i: float(model.weights[i]) for i in [*range(12), 20, 21, 22]}
+    best = loss(w, model.thresholds)
+    for i in w:
+        for d in (-0.05, 0.05):
+            assert loss(w | {i: w[i] + d}, model.thresholds) > best - 1e-6
+    for k in (0, 1):
+        for d in (-0.05, 0.05):
+            assert loss(w, [t + d * (j == k) for j, t in enumerate(model.thresholds)]) > best - 1e-6
+    assert model.thresholds[0] < model.thresholds[1]
+
+
+def plain_low_buckets(texts):
+    """texts: (set of buckets, grade) -> buckets that point to a lower grade."""
+    out = set()
+    for b in set().union(*(x for x, _ in texts)):
+        seen = sum(b in x for x, _ in texts)
+        for k in (0, 1):
+            p = sum(g <= k for _, g in texts) / len(texts)
+            low = sum(b in x for x, g in texts if g <= k)
+            p = min(max(p, 1e-9), 1 - 1e-9)
+            z, share = (low - seen * p) / max(seen * p * (1 - p), 1e-9) ** 0.5, (low + p) / (seen + 1)
+            if seen >= 5 and z >= 4 and math.log(share / (1 - share)) - math.log(p / (1 - p)) >= 3:
+                out.add(b)
+    return out
+
+
+def test_op7_query_equals_a_plain_version(spark):
+    from retort.llm.common import table
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
+    grade = {r.doc_id: 0 if r.quality == 0 else 1 if r.toxic == 1 else 2 for r in table(spark, d, "labels").collect() if r.doc_id in texts}
+
+    def plain(t):
+        words, out = (t or "").split(), Counter()
+        for w in set(words):
+            f = quality_classifier.word_features(w)
+            out[f[0]] += 1.0
+            out[f[1]] += 1.0
+            out[f[2]] += 1.0 / len(set(words))
+        for b in quality_classifier._whole(words, len(set(words))):
+            out[b] += 1.0
+        return out
+
+    features = {i: plain(t) for i, t in texts.items()}
+    fitted = [i for i in grade if not quality_classifier.is_held(i)]
+    low = plain_low_buckets([(set(features[i]), grade[i]) for i in fitted])
+    model = quality_classifier.fit(table(spark, d, "documents"), table(spark, d, "labels"))
+    assert set(np.flatnonzero(model.weights).tolist()) <= low
+    rows = [(np.array([b for b in sorted(features[i]) if b in low], np.int32), np.array([features[i][b] for b in sorted(features[i]) if b in low], np.float32), grade[i]) for i in sorted(fitted)]
+    again = quality_classifier.fit_ordinal(rows)
+    assert model.weights == pytest.approx(again.weights, abs=1e-3) and model.thresholds == pytest.approx(again.thresholds, abs=1e-3)
+    got = {r.doc_id: r for r in quality_classifier.op7_quality_classifier(spark, d).collect()}
+    assert set(got) == set(texts)
+    for i, f in features.items():
+        z = sum(float(model.weights[b]) * n for b, n in f.items())
+        tails = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert (got[i].z, got[i].expected_grade, got[i].tail_probability) == pytest.approx((z, sum(tails), tails[1]), abs=1e-5)
+        assert abs(tails[1] - model.select_at) < 1e-5 or got[i].selected == (tails[1] >= model.select_at)
+
+
+def test_labels_nulls_repeats_and_long_texts(spark):
+    rows = [(1, 0, None), (2, 1, None), (3, 1, 0), (3, 1, 1), (4, None, 1), (None, 1, 0), (5, 1, 0), (5, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert {(r.k, r.grade) for r in quality_classifier.labelled(labels, 10).collect()} == {(1, 0), (3, 1), (5, 2)}
+    assert quality_classifier.labelled(labels, 2).count() == 2
+    # a text of far more distinct words than 20,000 whose last ones tell its grade
+    many = " ".join(f"word{i}" for i in range(30_000))
+    texts = [(f"a{i}", many + " zzbadzz" if i % 2 else many) for i in range(60)]
+    d = spark.createDataFrame(texts + texts[:5], "doc_id string, text string")
+    model = quality_classifier.fit(d, spark.createDataFrame([(i, int(not i.endswith(tuple("13579"))), 0) for i, _ in texts], "doc_id string, quality int, toxic int"))
+    assert model.weights[quality_classifier.word_features("zzbadzz")[0]] < 0
+    got = {r.doc_id: r.selected for r in quality_classifier.classify(d, model).collect()}
+    assert all(got[i] == ("zzbadzz" not in t) for i, t in texts)
+
+
+def test_language_sample_with_many_languages_and_repeats(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng, rows = random.Random(2), []
+    for lang in range(80):
+        own = rng.sample(letters, 6)
+        for k in range(3):
+            rows.append((f"{lang}-{k}", "".join(rng.choice(own + [" "]) for _ in range(150)), f"l{lang}", "".join(own)))
+    d = spark.createDataFrame(rows + rows[:40] * 3 + [(None, "abc", "l0", ""), ("z", None, "l1", "")], "doc_id string, text string, lang string, x string")
+    monkeypatch.setattr(language_id, "ALL_DOCS", 80)
+    model = language_id.fit(d)
+    assert len(model.langs) == 80  # every language is learned, whatever their number
+    own = {r[2]: r[3] for r in rows}
+    tests = [(k, "".join(rng.choice(own[k]) for _ in range(200))) for k in own]
+    assert sum(p[0] == k for (k, _), p in zip(tests, language_id.predict(model, [t for _, t in tests]))) >= 72
+    one = language_id.fit(d.where("lang = 'l0'").dropDuplicates(["doc_id"]))
+    assert one.roots == language_id.fit(d.where("lang = 'l0'")).roots and (one.table == language_id.fit(d.where("lang = 'l0'")).table).all()
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -362,6 +496,12 @@ def test_method_adds_and_redaction(spark):
     t = "IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; my ssn 123-45-6789 but 123-45-6780"
     assert [pii.KINDS[k] for _, k, _, _ in pii.find_spans("bank " + t)] == ["iban", "ssn", "ssn"]
     assert [k for _, k, _, _ in pii.find_spans("number 123-45-6789")] == []
+    kinds = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e, _ in pii.find_spans(t) if k > 3]
+    assert kinds("pay DE89370400440532013000 ABCD now") == [("iban", "DE89370400440532013000")]
+    odd = "ZZ" + next(f"{c:02d}" for c in range(100) if pii.mod97(f"ZZ{c:02d}12345678901234")) + "12345678901234"  # no such country: a word decides
+    assert kinds(f"code {odd} here") == [] and kinds(f"bank account {odd} here") == [("iban", odd)]
+    card = next(f"GB{c:02d}WEST4111111111111111"[:22] for c in range(100) if pii.mod97(f"GB{c:02d}WEST4111111111111111"[:22]))
+    assert ("iban", card) in kinds(f"x {card} y")
     d = spark.createDataFrame([(1, "mail a@b.cd now", 15, "x"), (2, None, None, "x"), (3, "clean", 5, "x"), (4, "1" * 100_000, 7, "x")], "doc_id long, text string, n_chars long, kind string")
     got = pii.redact_documents(d).orderBy("doc_id").collect()
     assert [tuple(r)[:3] for r in got][:3] == [(1, "mail <EMAIL> now", 16), (2, None, None), (3, "clean", 5)] and got[3].n_chars == 7
