@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from retort.functions.shared import checkpoint
+from retort.operators.numbering import quantiles, ranked
 
 
 def check_confidence(c: float) -> float:
@@ -114,13 +115,10 @@ def intervals(cal: DataFrame, test: DataFrame, confidence: float = 0.9, bins: bo
     key = F.col("bin") if bins else F.lit(0)
     sigma = F.col("sigma") if "sigma" in cal.columns else F.lit(1.0)
     c = cal.select(key.alias("bin"), (F.abs(F.col("y") - F.col("pred")) / sigma).alias("r"))
-    n = c.groupBy("bin").agg(F.count("*").alias("n"))
     rank = F.floor((1 - check_confidence(confidence)) * (F.col("n") + 1) + 1e-12)
-    out = c.join(F.broadcast(n), "bin").withColumn("k", rank)
-    w = Window.partitionBy("bin").orderBy(F.desc("r"))
-    q = out.withColumn("i", F.row_number().over(w)).where("i = k").select("bin", F.col("r").alias("q"))
+    q = ranked(c, "bin", [-F.col("r")]).where(F.col("rank") == rank).select("bin", F.col("r").alias("q"))  # one row a bin
     t = test.select("row_id", "pred", key.alias("bin"), (F.col("sigma") if "sigma" in test.columns else F.lit(1.0)).alias("sigma"))
-    t = t.join(F.broadcast(q), "bin", "left").withColumn("q", F.coalesce("q", F.lit(float("inf"))) * F.col("sigma"))
+    t = t.join(q, "bin", "left").withColumn("q", F.coalesce("q", F.lit(float("inf"))) * F.col("sigma"))
     return t.select("row_id", (F.col("pred") - F.col("q")).alias("lo"), (F.col("pred") + F.col("q")).alias("hi"))
 
 
@@ -131,7 +129,8 @@ def cross_intervals(parts: DataFrame) -> DataFrame:
 
 def evaluate_intervals(iv: DataFrame, truth: DataFrame) -> DataFrame:
     d = iv.join(truth, "row_id").select(((F.col("y") < F.col("lo")) | (F.col("y") > F.col("hi"))).cast("int").alias("e"), (F.col("hi") - F.col("lo")).alias("w"))
-    return d.agg(F.avg("e").alias("error"), F.avg("w").alias("eff_mean"), F.percentile("w", F.lit(0.5)).alias("eff_med"))
+    median = quantiles(d, "w", [0.5])
+    return d.agg(F.avg("e").alias("error"), F.avg("w").alias("eff_mean"), F.lit(median[0] if median else None).cast("double").alias("eff_med"))
 
 
 def pool_adjacent(points: list[tuple[float, float, float]], increasing: bool = True) -> list[tuple[float, float]]:

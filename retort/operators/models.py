@@ -16,6 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.operators.numbering import quantiles
 from retort.operators import conformal, splits, stats
 from retort.plans.plan import Plan, Step
 
@@ -282,7 +283,7 @@ class ConformalRegressor:
 
     def calibrate(self, df: DataFrame) -> ConformalRegressor:
         if self.n_bins > 1:
-            self.edges = self._pred(df).agg(F.percentile("pred", F.array(*[F.lit(i / self.n_bins) for i in range(1, self.n_bins)])).alias("e")).first().e
+            self.edges = quantiles(self._pred(df), "pred", [i / self.n_bins for i in range(1, self.n_bins)])
         self.cal = self._pred(df).select("y", "pred", "bin")
         return self
 

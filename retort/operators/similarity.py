@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of the smaller side that one broadcast may hold; beyond, the work is done block by block.
+from retort.functions.grouped import dealt, sorted_groups
+from retort.functions.shared import checkpoint
+
+#: Rows of a block; pairs of blocks meet in one task.
 BLOCK_ROWS = 4096
 
 
@@ -40,9 +43,13 @@ def tanimoto_counts(a: Column, b: Column) -> Column:
     return F.when(below == 0, F.lit(0.0)).otherwise(dot / below)
 
 
+#: What rounding may add to a product of a size and the threshold; candidates are compared with the threshold itself.
+_SLACK = 1e-9
+
+
 def _prefixes(fps: DataFrame, threshold: float) -> DataFrame:
     n = F.size("bits")
-    keep = (n - F.ceil(n * F.lit(threshold)) + 1).cast("int")
+    keep = (n - F.ceil(n * F.lit(threshold) - _SLACK) + 1).cast("int")
     return fps.where(n > 0).select("row_id", "bits", n.alias("n"), F.explode(F.slice("bits", F.lit(1), keep)).alias("token"))
 
 
@@ -50,8 +57,8 @@ def tanimoto_pairs(fps: DataFrame, threshold: float, strategy: str = "auto") ->
     """All pairs a < b with Tanimoto >= threshold > 0. -> a, b, sim. Exact by either strategy; auto takes the cheaper.
 
     prefix: an equi-join on the first ``n - ceil(t n) + 1`` elements of each set, of which similar sets share one. For sparse sets.
-    blocks: rows dealt into blocks, and each pair of blocks compared by one task with 64-bit population counts. For dense sets, whose
-    elements select nothing. The candidates of the prefix join are counted first (one small aggregate over its elements).
+    blocks: rows dealt into blocks by their sizes, and each pair of blocks whose sizes can reach the threshold compared by one task with 64-bit
+    population counts. For dense sets, whose elements select nothing. The candidates of the prefix join are counted first (one small aggregate over its elements).
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -69,7 +76,7 @@ _PREFIX_COST = 50
 def _pairs_by_prefix(fps: DataFrame, threshold: float) -> DataFrame:
     """A pair is kept at the first element it shares, which needs no distinct; sizes must agree within the threshold."""
     l, r = _prefixes(fps, threshold).alias("l"), _prefixes(fps, threshold).alias("r")
-    near = (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
+    near = (F.col("l.n") >= F.col("r.n") * threshold - _SLACK) & (F.col("r.n") >= F.col("l.n") * threshold - _SLACK)
     j = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.row_id") < F.col("r.row_id")) & near)
     shared = F.array_intersect("l.bits", "r.bits")
     j = j.select(F.col("l.row_id").alias("a"), F.col("r.row_id").alias("b"), F.col("l.token").alias("token"), (F.col("l.n") + F.col("r.n")).alias("n"), shared.alias("s"))
@@ -77,32 +84,66 @@ def _pairs_by_prefix(fps: DataFrame, threshold: float) -> DataFrame:
     return j.where(F.col("sim") >= threshold)
 
 
+def _size_blocks(fps: DataFrame, block_rows: int) -> DataFrame:
+    """n, base, parts: where sets of each size stand. Blocks follow the sizes; a frequent size has several.
+
+    The sizes are few (at most the bits of a fingerprint, and one), so this table is small whatever the number of rows.
+    """
+    base, held, rows = 0, 0, []
+    for r in fps.groupBy(F.size("bits").alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect():
+        parts = -(-r.c // block_rows)
+        if held and held + r.c > block_rows:
+            base, held = base + 1, 0
+        rows.append((r.n, base, parts))
+        if parts > 1:
+            base, held = base + parts, 0
+        else:
+            held += r.c
+    return fps.sparkSession.createDataFrame(rows, "n int, base int, parts int")
+
+
+def _with_block(fps: DataFrame, blocks: DataFrame) -> DataFrame:
+    """fps: row_id, bits -> row_id, bits, n, block."""
+    d = fps.select("row_id", "bits", F.size("bits").alias("n")).join(F.broadcast(blocks), "n")
+    return d.select("row_id", "bits", "n", (F.col("base") + F.pmod(F.xxhash64("row_id"), F.col("parts"))).cast("int").alias("block"))
+
+
+def _reach(blocks: DataFrame, sizes: DataFrame, least: Column) -> DataFrame:
+    """sizes: n and what least needs -> those columns, first, last: the blocks of sizes that can be as similar as least to a set of n."""
+    t = F.broadcast(blocks.select(F.col("n").alias("m"), F.col("base"), "parts"))
+    fits = (F.col("m") >= F.col("n") * least - _SLACK) & (F.col("m") * least <= F.col("n") + _SLACK)
+    return sizes.join(t, fits).groupBy(*sizes.columns).agg(F.min("base").alias("first"), F.max(F.col("base") + F.col("parts") - 1).alias("last"))
+
+
+def _similarity(words: np.ndarray, size: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+    both = np.bitwise_count(words & k).sum(1).astype(np.int64)
+    below = size + n - both
+    return np.where(below > 0, both / np.maximum(below, 1), 0.0)
+
+
 def _pairs_by_blocks(fps: DataFrame, threshold: float, block_rows: int = 1024) -> DataFrame:
-    blocks = max(1, -(-fps.count() // block_rows))
-    mine = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")
-    d = fps.select("row_id", "bits", mine.alias("mine"), other)
+    blocks = _size_blocks(fps.where(F.size("bits") > 0), block_rows)
+    reach = _reach(blocks, blocks.select("n"), F.lit(threshold))
+    d = _with_block(fps, blocks).join(F.broadcast(reach), "n")
+    d = d.select("row_id", "bits", F.col("block").alias("mine"), F.explode(F.sequence("first", "last")).alias("x"))
     d = d.select(F.least("mine", "x").alias("i"), F.greatest("mine", "x").alias("j"), "mine", "row_id", "bits")
 
-    def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, side = np.array(t.column("row_id").to_pylist(), np.int64), t.column("mine").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, side, words = ids[order], side[order], _pack_lists(t.column("bits").combine_chunks())[order]
-        size = np.bitwise_count(words).sum(1).astype(np.int64)
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out: list[tuple[np.ndarray, ...]] = []
-        for k in left:
-            r = right[right > k] if i == j else right
-            both = np.bitwise_count(words[r] & words[k]).sum(1).astype(np.int64)
-            below = size[r] + size[k] - both
-            sim = np.where(below > 0, both / np.maximum(below, 1), 0.0)
-            hit = np.flatnonzero(sim >= threshold)
-            out.append((np.minimum(ids[k], ids[r[hit]]), np.maximum(ids[k], ids[r[hit]]), sim[hit]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "sim"])
-
-    return d.groupBy("i", "j").applyInArrow(run, "a long, b long, sim double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, "i", "j"):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            ids, side = t.column("row_id").to_numpy(), t.column("mine").to_numpy()
+            words = _pack_lists(t.column("bits").combine_chunks())
+            size = np.bitwise_count(words).sum(1).astype(np.int64)
+            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            for k in left.tolist():
+                r = right[right > k] if i == j else right
+                sim = _similarity(words[r], size[r], words[k], int(size[k]))
+                hit = np.flatnonzero(sim >= threshold)
+                if len(hit):
+                    x = ids[r[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[k], x)), pa.array(np.maximum(ids[k], x)), pa.array(sim[hit])], ["a", "b", "sim"])
+
+    return dealt(d, "i", "j").mapInArrow(run, "a long, b long, sim double")
 
 
 def _pack_lists(bits: pa.ListArray) -> np.ndarray:
@@ -139,55 +180,65 @@ def to_training(queries: DataFrame, training: DataFrame, distance: bool = False,
     return j.select("q_id", "t_id", (1 - sim if distance else sim).alias("value"))
 
 
-def _packed(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), max(1, (width + 63) // 64)), np.uint64)
-    for i, bits in enumerate(rows):
-        for b in bits:
-            out[i, b >> 6] |= np.uint64(1 << (b & 63))
-    return out
-
-
-def tanimoto_knn(queries: DataFrame, targets: DataFrame, k: int | None, n_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _knn_pass(q: DataFrame, t: DataFrame, k: int, down: bool, slices: int) -> DataFrame:
+    """q: row_id, bits, x (a block of t to look in); t: row_id, bits, block -> the k best of each query and block: q_id, t_id, similarity."""
+    slice_ = F.pmod(F.xxhash64("row_id"), F.lit(slices)).cast("int")
+    left = q.select("x", slice_.alias("s"), F.lit(0).alias("side"), "row_id", "bits")
+    right = t.select(F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(1).alias("side"), "row_id", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, "x", "s"):
+            side, ids = g.column("side").to_numpy(), g.column("row_id").to_numpy()
+            asked, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(asked) or not len(there):
+                continue
+            words = _pack_lists(g.column("bits").combine_chunks())
+            size = np.bitwise_count(words).sum(1).astype(np.int64)
+            w, n, t_ids = words[there], size[there], ids[there]
+            rows: list[tuple[np.ndarray, ...]] = []
+            for j in asked.tolist():
+                sim = _similarity(w, n, words[j], int(size[j]))
+                near = np.flatnonzero(sim >= np.partition(sim, len(sim) - k)[len(sim) - k]) if k < len(sim) else np.arange(len(sim))
+                pick = near[np.lexsort((-t_ids[near] if down else t_ids[near], -sim[near]))[:k]]
+                rows.append((np.full(len(pick), ids[j]), t_ids[pick], sim[pick]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["q_id", "t_id", "similarity"])
+
+    return dealt(left.union(right), "x", "s").mapInArrow(run, "q_id long, t_id long, similarity double")
+
+
+def tanimoto_knn(queries: DataFrame, targets: DataFrame, k: int | None, n_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k most similar targets of each query: q_id, rank (from 1), t_id, similarity.
 
     Ties: k = 1 takes the least id, any other k the greatest first, as the three code paths of the original do. k is capped at the number
-    of targets; None means all. Queries go out in blocks of bounded size, each partition of targets keeps its own k best, and only
-    those meet in a window: no pair of a query and a far target is ever shuffled.
+    of targets; None means all. n_bits, where given, must hold every position.
+
+    Targets stand in blocks by their sizes. A query first looks into the block of its own size; its k-th best there bounds what other
+    blocks can offer, and it goes only to those whose sizes can reach that. No row passes through the driver, and of each block at most
+    k targets a query are shuffled.
     """
+    if n_bits is not None and queries.select("bits").union(targets.select("bits")).where(F.array_max("bits") >= n_bits).limit(1).count():
+        raise ValueError("queries and targets must have n_bits positions")
     n_targets = targets.count()
     k = n_targets if k is None else min(k, n_targets)
     if k < 1:
         raise ValueError("k must be positive and there must be targets")
-    down = k > 1
-    q = queries.select("row_id", "bits").orderBy("row_id")
-    sc, out = queries.sparkSession.sparkContext, None
-    n_blocks = max(1, -(-queries.count() // block_rows))
-    for i in range(n_blocks):
-        block = (q.where(F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else q).collect()
-        shared = sc.broadcast(([r.row_id for r in block], _packed([r.bits for r in block], n_bits)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, words = shared.value
-            n_q = np.bitwise_count(words).sum(1).astype(np.int64)
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for b in batches:
-                t_ids = np.array(b.column(0).to_pylist(), np.int64)
-                t = _packed(b.column(1).to_pylist(), n_bits)
-                n_t = np.bitwise_count(t).sum(1).astype(np.int64)
-                for j in range(len(ids)):
-                    both = np.bitwise_count(t & words[j]).sum(1).astype(np.int64)
-                    below = n_t + n_q[j] - both
-                    sim = np.where(below > 0, both / np.maximum(below, 1), 0.0)
-                    pick = np.lexsort((-t_ids if down else t_ids, -sim))[:k]
-                    best[j] = sorted([*best[j], *zip(sim[pick].tolist(), t_ids[pick].tolist())], key=lambda x: (-x[0], -x[1] if down else x[1]))[:k]
-            rows = [(i, t, s) for i, found in zip(ids, best) for s, t in found]
-            a, b2, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b2, pa.int64()), pa.array(c, pa.float64())], ["q_id", "t_id", "similarity"])
-
-        part = targets.select("row_id", "bits").mapInArrow(run, "q_id long, t_id long, similarity double")
-        out = part if out is None else out.union(part)
+    down, slices = k > 1, max(1, -(-queries.count() // block_rows))
+    blocks = _size_blocks(targets, block_rows)
+    t = _with_block(targets, blocks)
+    q = queries.select("row_id", "bits", F.size("bits").alias("n"))
+    # a query's own block: that of the next size there is, or the last
+    own = q.select("n").distinct().join(F.broadcast(blocks.select(F.col("n").alias("m"), "base")), F.lit(True), "cross")
+    own = own.groupBy("n").agg(F.min_by("base", F.struct(F.abs(F.col("m") - F.col("n")), "m")).alias("x"))
+    q = q.join(F.broadcast(own), "n")
     w = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.desc("t_id") if down else F.asc("t_id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "rank", "t_id", "similarity")
+    best = lambda d: d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    first = checkpoint(_knn_pass(q.select("row_id", "bits", "x"), t, k, down, slices))
+    bound = first.groupBy(F.col("q_id").alias("row_id")).agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(0.0).alias("bound"))
+    far = q.join(bound, "row_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    reach = _reach(blocks, far.select("n", "bound").distinct(), F.col("bound"))
+    far = far.join(reach, ["n", "bound"]).select("row_id", "bits", "x", F.explode(F.sequence("first", "last")).alias("y")).where("x <> y")
+    rest = _knn_pass(far.select("row_id", "bits", F.col("y").alias("x")), t, k, down, slices)
+    return best(first.union(rest)).select("q_id", "rank", "t_id", "similarity")
 
 
 def _pair_sum(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -214,24 +265,28 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def named_neighbors(queries: DataFrame, targets: DataFrame, n_neighbors: int = 5, metric: str | Callable[[Column, Column], Column] = "euclidean", vector_col: str = "vector", name_col: str = "name") -> DataFrame:
+def named_neighbors(queries: DataFrame, targets: DataFrame, n_neighbors: int = 5, metric: str | Callable[[Column, Column], Column] = "euclidean", vector_col: str = "vector", name_col: str = "name",
+                    radius: float | None = None) -> DataFrame:
     """The names of the nearest targets: q_id, rank, name, distance; ties to the least target id.
 
-    Queries go out in blocks of bounded size against all targets; each partition of targets keeps its own nearest, and only those meet.
+    radius: all targets no farther than that, instead of n_neighbors. Queries and targets are dealt into blocks that meet by their
+    numbers; each task keeps its own nearest, and only those are shuffled.
     """
     f = METRICS.get(metric) if isinstance(metric, str) else metric
     if f is None:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(METRICS)}")
+    if radius is not None and radius < 0 or radius is None and n_neighbors < 1:
+        raise ValueError("n_neighbors must be positive and radius not negative")
     q = queries.select(F.col("row_id").alias("q_id"), F.col(vector_col).alias("q_v"))
     t = targets.select(F.col("row_id").alias("t_id"), F.col(vector_col).alias("t_v"), F.col(name_col).alias("name"))
-    w, out = Window.partitionBy("q_id").orderBy("distance", "t_id"), None
-    n_blocks = max(1, -(-q.count() // BLOCK_ROWS))
-    for i in range(n_blocks):
-        block = q.where(F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else q
-        d = t.crossJoin(F.broadcast(block)).select("q_id", "t_id", "name", f(F.col("q_v"), F.col("t_v")).alias("distance"))
-        part = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_neighbors)
-        out = part if out is None else out.union(part)
-    return out.select("q_id", "rank", "name", "distance")
+    nq, nt = max(1, -(-q.count() // BLOCK_ROWS)), max(1, -(-t.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q, t = q.select("*", mine("q_id", nq).alias("i"), every(nt).alias("j")), t.select("*", mine("t_id", nt).alias("j"), every(nq).alias("i"))
+    d = q.join(t, ["i", "j"]).select("q_id", "t_id", "name", f(F.col("q_v"), F.col("t_v")).alias("distance"))
+    d = d if radius is None else d.where(F.col("distance") <= radius)
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "t_id")))
+    return (d if radius is not None else d.where(F.col("rank") <= n_neighbors)).select("q_id", "rank", "name", "distance")
 
 
 def q_tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +295,7 @@ def q_tanimoto_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_to_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = sign_bits(spark, sf_dir)
-    return to_training(f.where("row_id % 50 = 1"), f.where("row_id % 50 = 0"), True).select("q_id", "t_id", F.round("value", 6).alias("value"))
+    return to_training(f.where("row_id % 50 = 0"), f, True).select("q_id", "t_id", F.round("value", 6).alias("value"))
 
 
 def _q_knn(k: int):
@@ -251,6 +306,25 @@ def _q_knn(k: int):
     return q
 
 
+def q_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label").alias("name"))
+    d = named_neighbors(e.where("row_id % 50 = 0"), e, metric="sqeuclidean", radius=0.9)
+    return d.groupBy("q_id").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total"))
+
+
+def q_self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The self-similarity matrix by row: its sum, and how many others are more similar than 0.4."""
+    d = self_similarity(sign_bits(spark, sf_dir))
+    return d.groupBy("q_id").agg(F.round(F.sum("value"), 5).alias("total"), F.count_if((F.col("value") > 0.4) & (F.col("q_id") != F.col("t_id"))).alias("n_near"))
+
+
+def q_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k of all targets, for every fiftieth row: the sum of rank times id tells the order."""
+    f = sign_bits(spark, sf_dir)
+    d = tanimoto_knn(f.where("row_id % 50 = 0"), f, None, 64)
+    return d.groupBy("q_id").agg(F.count("*").alias("n"), F.sum(F.col("rank").cast("long") * F.col("t_id")).alias("ordered"))
+
+
 def _q_named(metric: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label").alias("name"))
@@ -270,7 +344,8 @@ def q_count_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "tanimoto_pairs": q_tanimoto_pairs, "tanimoto_to_training": q_to_training, "tanimoto_knn_1": _q_knn(1), "tanimoto_knn_3": _q_knn(3),
-    "count_similarity": q_count_similarity, **{f"named_neighbors_{m}": _q_named(m) for m in ("euclidean", "manhattan", "chebyshev", "cosine")},
+    "count_similarity": q_count_similarity, **{f"named_neighbors_{m}": _q_named(m) for m in ("euclidean", "sqeuclidean", "manhattan", "chebyshev", "cosine", "hamming", "jaccard", "canberra")},
+    "named_neighbors_radius": q_radius, "tanimoto_self": q_self_similarity, "tanimoto_knn_all": q_knn_all,
 }
 _BITS = """
 WITH f AS (SELECT vec_id AS row_id, list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] > 0 THEN i - 1 END), lambda i: i IS NOT NULL) AS bits FROM embeddings),
@@ -288,7 +363,7 @@ SELECT q_id, rank, name, round(distance, 4) AS distance FROM (SELECT *, row_numb
 _ZIP = "list_transform(range(1, len(u) + 1), lambda i: abs(u[i] - v[i]))"
 ORACLE_SQL = {
     "tanimoto_pairs": _BITS + "SELECT a, b, round(sim, 6) AS sim FROM s WHERE a < b AND sim >= 0.5",
-    "tanimoto_to_training": _BITS + "SELECT a AS q_id, b AS t_id, round(1 - sim, 6) AS value FROM s WHERE a % 50 = 1 AND b % 50 = 0",
+    "tanimoto_to_training": _BITS + "SELECT a AS q_id, b AS t_id, round(1 - sim, 6) AS value FROM s WHERE a % 50 = 0",
     "tanimoto_knn_1": _KNN.format("ASC", 1), "tanimoto_knn_3": _KNN.format("DESC", 3),
     "count_similarity": """
 WITH c AS (SELECT l_orderkey AS k, l_partkey % 16 AS bit, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT k, sum(n) AS s FROM c GROUP BY k),
@@ -298,4 +373,11 @@ FROM t a JOIN t b ON b.k = a.k + 1 LEFT JOIN d ON d.k = a.k""",
     "named_neighbors_euclidean": _NAMED.format(f"sqrt(list_sum(list_transform({_ZIP}, lambda x: x * x)))"),
     "named_neighbors_manhattan": _NAMED.format(f"list_sum({_ZIP})"), "named_neighbors_chebyshev": _NAMED.format(f"list_max({_ZIP})"),
     "named_neighbors_cosine": _NAMED.format("1 - list_cosine_similarity(u, v)"),
+    "named_neighbors_sqeuclidean": _NAMED.format(f"list_sum(list_transform({_ZIP}, lambda x: x * x))"),
+    "named_neighbors_hamming": _NAMED.format("len(list_filter(range(1, len(u) + 1), lambda i: u[i] <> v[i])) / len(u)"),
+    "named_neighbors_jaccard": _NAMED.format("1 - len(list_filter(range(1, len(u) + 1), lambda i: u[i] <> 0 AND v[i] <> 0)) / len(list_filter(range(1, len(u) + 1), lambda i: u[i] <> 0 OR v[i] <> 0))"),
+    "named_neighbors_canberra": _NAMED.format("list_sum(list_transform(range(1, len(u) + 1), lambda i: coalesce(abs(u[i] - v[i]) / nullif(abs(u[i]) + abs(v[i]), 0), 0)))"),
+    "named_neighbors_radius": _NAMED.partition("SELECT q_id, rank")[0].format(f"list_sum(list_transform({_ZIP}, lambda x: x * x))") + "SELECT q_id, count(*) AS n, round(sum(distance), 3) AS total FROM d WHERE distance <= 0.9 GROUP BY q_id",
+    "tanimoto_self": _BITS + "SELECT a AS q_id, round(sum(sim), 5) AS total, count(*) FILTER (sim > 0.4 AND a <> b) AS n_near FROM s GROUP BY a",
+    "tanimoto_knn_all": _BITS + "SELECT q_id, count(*) AS n, CAST(sum(rank * t_id) AS BIGINT) AS ordered FROM (SELECT a AS q_id, b AS t_id, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS rank FROM s WHERE a % 50 = 0) GROUP BY q_id",
 }

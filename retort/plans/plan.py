@@ -28,6 +28,15 @@ CACHED = 4096
 DEFAULT_ELEMENTS = (1, 5, 6, 7, 8, 9, 14, 15, 16, 17, 34, 35, 53)
 
 
+#: Inputs of fewer bytes a core than this are dealt over all cores.
+SPREAD_BYTES = 16 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def as_range(v) -> tuple[float | None, float | None]:
     """A number n is (n, n); a pair keeps its open ends."""
     return (v, v) if isinstance(v, (int, float)) else (v[0], v[1])
@@ -320,8 +329,8 @@ class Plan:
 
         rows = df.select("row_id", *keep, input_col)
         cores = df.sparkSession.sparkContext.defaultParallelism
-        # the kernel costs far more than a shuffle of its inputs: a table in few partitions is dealt over all cores
-        if not df.isStreaming and rows.rdd.getNumPartitions() < cores:
+        # the kernel costs far more than a shuffle of its inputs: a table too small to be read by every core is dealt over all of them
+        if not df.isStreaming and _estimated_bytes(rows) < cores * SPREAD_BYTES:
             rows = rows.repartition(cores)
         return rows.mapInArrow(run, schema)
 
