@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from retort.chem import features as X
 from retort.chem import standardize as S
@@ -32,6 +33,19 @@ DEFAULT_ELEMENTS = (1, 5, 6, 7, 8, 9, 14, 15, 16, 17, 34, 35, 53)
 SPREAD_BYTES = 16 << 20
 
 
+def dense(col: str | Column, n: int) -> Column:
+    """A map position -> value as an array of n doubles."""
+    m = F.col(col) if isinstance(col, str) else col
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
+
+
+def sparse(col: str | Column) -> Column:
+    """An array as a map position -> value, without zeros."""
+    a = F.col(col) if isinstance(col, str) else col
+    pairs = F.transform(a, lambda v, i: F.struct(i.alias("i"), v.cast("int").alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda x: x["v"] != 0))
+
+
 def _estimated_bytes(df: DataFrame) -> int:
     """The optimiser's estimate; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -135,6 +149,7 @@ MOL_OPS: dict[str, Callable] = {n: _step(n) for n in S.STEPS} | {
     "reaction": lambda reaction, additives=(), handle_multi="warn": lambda m: react(m, reaction, list(additives), handle_multi),
     "passthrough": lambda: lambda m: m, "element_filter": _element_filter, "smarts_filter": _pattern_filter(parse_smarts), "smiles_filter": _pattern_filter(lambda s: pattern_of(parse_smiles(s))),
     "descriptor_filter": _descriptor_filter, "complex_filter": _complex_filter, "mixture_filter": lambda: _keep(lambda m: len(m.fragments()) <= 1, "more than one fragment"),
+    "custom_filter": lambda test, message="custom filter": _keep(test, message),
     "empty_filter": lambda: _keep(lambda m: bool(m.atoms), "no atoms"), "inorganics_filter": lambda: _keep(lambda m: not _inorganic(m), "inorganic"),
 }
 
@@ -223,6 +238,28 @@ def _names(op: str, kw: dict) -> list[str]:
     return [op]
 
 
+_OWN_STEPS: set[str] = set()
+_OWN_OUTPUTS: set[str] = set()
+
+
+def register_step(name: str, factory: Callable[..., Callable[[Mol], Mol]]) -> None:
+    """A step of the user's own: factory(**params) gives molecule -> molecule, which raises MolError to reject. Plans with it go to JSON."""
+    if name in MOL_OPS and name not in _OWN_STEPS:
+        raise ValueError(f"{name!r} is a step already")
+    MOL_OPS[name] = factory
+    _OWN_STEPS.add(name)
+
+
+def register_output(name: str, spark_type: str, factory: Callable[..., Callable[[Mol], object]]) -> None:
+    """An output of the user's own, of one of the types in use."""
+    if name in OUTPUTS and name not in _OWN_OUTPUTS:
+        raise ValueError(f"{name!r} is an output already")
+    if spark_type not in _ARROW:
+        raise ValueError(f"unknown type {spark_type!r}; known: {sorted(_ARROW)}")
+    OUTPUTS[name] = (spark_type, factory)
+    _OWN_OUTPUTS.add(name)
+
+
 @dataclass(frozen=True)
 class Step:
     name: str
@@ -297,6 +334,9 @@ class Plan:
         return bare(self) == bare(other)
 
     def to_json(self) -> str:
+        """ValueError if a parameter is a function: register the step under a name instead."""
+        if any(callable(v) for s in (self.reader, *self.steps, *self.outputs) for v in s.kwargs.values()):
+            raise ValueError("a function does not go to JSON")
         pack = lambda s: {"name": s.name, "op": s.op, "params": s.kwargs}
         return json.dumps({"reader": pack(self.reader), "steps": [pack(s) for s in self.steps], "outputs": [pack(s) for s in self.outputs]}, sort_keys=True)
 
@@ -319,7 +359,15 @@ class Plan:
         kinds = [df.schema[c].dataType.simpleString() for c in ("row_id", *keep)]
         schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, [*kinds, *types, ERR]))
 
+        # executors do not know what was registered here
+        own_steps = [(s.op, MOL_OPS[s.op]) for s in self.steps if s.op in _OWN_STEPS]
+        own_outputs = [(s.op, *OUTPUTS[s.op]) for s in self.outputs if s.op in _OWN_OUTPUTS]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in own_steps:
+                register_step(*x)
+            for x in own_outputs:
+                register_output(*x)
             read, steps, outputs = plan._build()
             one = functools.lru_cache(CACHED)(lambda v: _run_one(plan, read, steps, outputs, v))  # tables repeat their molecules
             for b in batches:
