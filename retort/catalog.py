@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from retort.operators import cluster, conformal, models, similarity, splits, stats
+from retort.functions import timeutil
+from retort.operators import cluster, conformal, kernels, models, similarity, splits, stats
 from retort.plans import compounds, molecules
 from retort.streaming import streams
 
 FLAGSHIP = "tanimoto_pairs"
 QUERIES, ORACLE_SQL = {}, {}
-for _m in (similarity, splits, stats, conformal, cluster, molecules, compounds, models, streams):
+for _m in (similarity, splits, stats, timeutil, conformal, kernels, cluster, molecules, compounds, models, streams):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL

@@ -68,3 +68,16 @@ def group_of(ts: Column, thresholds: list[datetime]) -> Column:
     for t in thresholds:
         out = out + (ts >= F.lit(t).cast("timestamp_ntz")).cast("int")
     return out
+
+
+def q_floor_dates(spark, sf_dir):
+    """The day of each order floored to every precision, as days since 1970; and its group among five yearly thresholds."""
+    ts = F.col("o_orderdate").cast("timestamp")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    days = [F.datediff(floor_date(ts, p), F.lit("1970-01-01").cast("date")).cast("long").alias(p.lower()) for p in ("Y", "Q", "M", "W", "D")]
+    return o.select(F.col("o_orderkey").alias("row_id"), *days, group_of(F.col("o_orderdate"), thresholds_for_n_years(datetime(1999, 1, 1), 5)).cast("long").alias("grp"))
+
+
+QUERIES = {"floor_dates": q_floor_dates}
+_FLOORS = ", ".join(f"date_diff('day', DATE '1970-01-01', CAST(date_trunc('{u}', CAST(o_orderdate AS TIMESTAMP)) AS DATE)) AS {p}" for p, u in (("y", "year"), ("q", "quarter"), ("m", "month"), ("w", "week"), ("d", "day")))
+ORACLE_SQL = {"floor_dates": f"SELECT o_orderkey AS row_id, {_FLOORS}, CAST((SELECT count(*) FROM range(5) t(i) WHERE o_orderdate >= make_date(CAST(1995 + i AS INT), 1, 1)) AS BIGINT) AS grp FROM orders"}

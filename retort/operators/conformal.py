@@ -199,7 +199,7 @@ def q_sets(spark, sf_dir):
 
 def q_scores(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return s.select("row_id", *[F.round(nonconformity(n)(F.col("proba"), 1), 6).alias(n) for n in ("hinge", "margin", "log")])
+    return s.select("row_id", *[F.round(nonconformity(n)(F.col("proba"), 1), 6).alias(n) for n in ("hinge", "margin", "log", "svm_margin")])
 
 
 def _orders(spark, sf_dir):
@@ -217,12 +217,27 @@ def _q_int(bins: bool):
 
 
 def q_cross(spark, sf_dir):
-    """The median of p over five shifted copies stands for five folds."""
-    p = _p(spark, sf_dir, False).select("row_id", "label", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"), "p").withColumn("p", F.col("p") * (1 - F.col("fold") / 10.0))
-    return cross_p_values(p).select("row_id", F.col("label").cast("long").alias("label"), F.round("p", 6).alias("p"))
+    """The median of the p-values of five folds of the calibration rows."""
+    s = class_scores(_scored(spark, sf_dir), "hinge", 2)
+    test = s.where("NOT cal").select("row_id", F.posexplode("scores").alias("label", "score")).withColumn("score", F.round("score", 6))
+    out = None
+    for k in range(5):
+        cal = s.where(F.col("cal") & (F.floor(F.col("row_id") / 2) % 5 == k)).select(F.col("y").alias("label"), F.round(F.get("scores", F.col("y")), 6).alias("score"))
+        p = p_values(cal, test).withColumn("fold", F.lit(k))
+        out = p if out is None else out.union(p)
+    return cross_p_values(out).select("row_id", F.col("label").cast("long").alias("label"), F.round("p", 6).alias("p"))
+
+
+def q_cross_intervals(spark, sf_dir):
+    """The mean bounds of the intervals of three folds of the calibration rows."""
+    o, out = _orders(spark, sf_dir), None
+    for k in range(3):
+        iv = intervals(o.where(F.col("cal") & (F.col("row_id") % 9 == 3 * k)), o.where("NOT cal"), 0.9)
+        out = iv if out is None else out.union(iv)
+    return cross_intervals(out).select("row_id", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-QUERIES = {"conformal_p": _q_p(False), "conformal_p_mondrian": _q_p(True), "conformal_sets": q_sets, "nonconformity": q_scores, "conformal_intervals": _q_int(False), "conformal_intervals_mondrian": _q_int(True), "cross_conformal_p": q_cross}
+QUERIES = {"conformal_p": _q_p(False), "conformal_p_mondrian": _q_p(True), "conformal_sets": q_sets, "nonconformity": q_scores, "conformal_intervals": _q_int(False), "conformal_intervals_mondrian": _q_int(True), "cross_conformal_p": q_cross, "cross_intervals": q_cross_intervals}
 _S = """WITH s AS (SELECT doc_id AS row_id, quality AS y, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS h, doc_id % 2 = 0 AS cal FROM labels),
 c AS (SELECT y AS label, round(CASE WHEN y = 1 THEN 1 - h ELSE 1 - (1 - h) END, 6) AS score FROM s WHERE cal),
 t AS (SELECT row_id, 0 AS label, round(1 - (1 - h), 6) AS score FROM s WHERE NOT cal UNION ALL SELECT row_id, 1, round(1 - h, 6) FROM s WHERE NOT cal),
@@ -237,7 +252,11 @@ ORACLE_SQL = {
     "conformal_p": _S.format("") + "SELECT row_id, CAST(label AS BIGINT) AS label, round(p, 6) AS p FROM p",
     "conformal_p_mondrian": _S.format(_M) + "SELECT row_id, CAST(label AS BIGINT) AS label, round(p, 6) AS p FROM p",
     "conformal_sets": _S.format("") + "SELECT row_id, coalesce(string_agg(label, ',' ORDER BY label) FILTER (p >= 1 - 0.8::DOUBLE), '') AS labels FROM p GROUP BY row_id",
-    "nonconformity": "WITH s AS (SELECT doc_id AS row_id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS h FROM labels) SELECT row_id, round(1 - h, 6) AS hinge, round(1 - h - h, 6) AS margin, round(-ln(greatest(h, 1e-10)), 6) AS log FROM s",
+    "nonconformity": "WITH s AS (SELECT doc_id AS row_id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS h FROM labels) SELECT row_id, round(1 - h, 6) AS hinge, round(1 - h - h, 6) AS margin, round(-ln(greatest(h, 1e-10)), 6) AS log, round(1 - (1 - h), 6) AS svm_margin FROM s",
     "conformal_intervals": _I.format("0"), "conformal_intervals_mondrian": _I.format("o_custkey % 4"),
-    "cross_conformal_p": _S.format("") + "SELECT row_id, CAST(label AS BIGINT) AS label, round(quantile_cont(p * (1 - f / 10.0::DOUBLE), 0.5), 6) AS p FROM p, range(5) x(f) GROUP BY row_id, label",
+    "cross_conformal_p": _S.format("").partition("p AS (")[0].replace("c AS (SELECT y AS label", "c AS (SELECT row_id // 2 % 5 AS fold, y AS label") + "p AS (SELECT row_id, label, fold, ((SELECT count(*) FROM c WHERE c.fold = f.fold AND c.score >= t.score) + 1) / ((SELECT count(*) FROM c WHERE c.fold = f.fold) + 1) AS p FROM t, range(5) f(fold)) "
+    "SELECT row_id, CAST(label AS BIGINT) AS label, round(quantile_cont(p, 0.5), 6) AS p FROM p GROUP BY row_id, label",
+    "cross_intervals": """WITH o AS (SELECT o_orderkey AS row_id, o_totalprice AS y, 150000.0::DOUBLE + (o_custkey % 100) * 500 AS pred FROM orders),
+r AS (SELECT row_id % 9 AS bin, abs(y - pred) AS r, row_number() OVER (PARTITION BY row_id % 9 ORDER BY abs(y - pred) DESC) AS i, count(*) OVER (PARTITION BY row_id % 9) AS n FROM o WHERE row_id % 3 = 0),
+q AS (SELECT bin, r AS q FROM r WHERE i = floor((1 - 0.9::DOUBLE) * (n + 1) + 1e-12)) SELECT row_id, round(avg(pred - q), 4) AS lo, round(avg(pred + q), 4) AS hi FROM o, q WHERE row_id % 3 <> 0 GROUP BY row_id""",
 }
