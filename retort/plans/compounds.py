@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.functions.shared import shared_folder
+from retort.operators.kernels import atom_weights
 from retort.plans.errors import error_filter, rejected
 from retort.plans.pipeline import Pipeline, fold_metrics
 from retort.plans.plan import Plan, Step, dense, register_step, sparse
+from retort.sources import readers
+from retort.streaming.streams import file_stream, run_available
 
 #: The groups: as written after the chain, as written before it; added hydrogens, C, N, O, S, Cl, Br; rings; atoms with OH.
 GROUPS = (
@@ -126,6 +129,7 @@ _OH = "[O;!H0]"
 FILTERS = {
     "smarts": (("smarts_filter", {"patterns": [_OH]}), "oh = 1"), "smarts_drop": (("smarts_filter", {"patterns": [_OH], "keep_matches": False}), "oh = 0"),
     "smarts_range": (("smarts_filter", {"patterns": {"C": [5, 10]}}), "c + (g = 6)::INT BETWEEN 5 AND 10"), "smarts_all": (("smarts_filter", {"patterns": {_OH: 1, "C": [None, 9]}, "mode": "all"}), "oh = 1 AND c + (g = 6)::INT <= 9"),
+    "recursive": (("smarts_filter", {"patterns": ["[$(C(=O)[O;!H0])]"]}), "g = 6"), "recursive_not": (("smarts_filter", {"patterns": {"[C;!$(C=O);!$(CC=O)]": [3, None]}}), "c - (g = 6)::INT >= 3"),
     "smiles": (("smiles_filter", {"patterns": ["c1ccccc1"]}), "g = 7"), "descriptor": (("descriptor_filter", {"ranges": {"HeavyAtomCount": [5, 10]}}), "heavy BETWEEN 5 AND 10"),
     "descriptor_all": (("descriptor_filter", {"ranges": {"HeavyAtomCount": [5, 10], "RingCount": [1, None]}, "mode": "all"}), "heavy BETWEEN 5 AND 10 AND g = 7"),
     "complex_any": (("complex_filter", {"filters": {"oh": ["smarts_filter", {"patterns": [_OH]}], "size": ["descriptor_filter", {"ranges": {"HeavyAtomCount": [5, 10]}}]}}), "oh = 1 OR heavy BETWEEN 5 AND 10"),
@@ -170,13 +174,69 @@ def q_error_steps(spark, sf_dir):
 
 def q_fingerprints(spark, sf_dir):
     """Of the bare chains: environments and paths, by counting; as maps, as dense vectors and back."""
-    outputs = (Step.of("f0", "morgan", radius=0, counted=True), Step.of("f2", "morgan", counted=True), Step.of("bits", "morgan"), Step.of("paths", "path", counted=True, bits_per_feature=1), Step.of("shorts", "path", min_path=2, max_path=3, counted=True, bits_per_feature=1))
+    outputs = (Step.of("f0", "morgan", radius=0, counted=True), Step.of("f2", "morgan", counted=True), Step.of("bits", "morgan"), Step.of("paths", "path", counted=True, bits_per_feature=1, use_hs=False, branched_paths=False), Step.of("trees", "path", counted=True, bits_per_feature=1, use_hs=False), Step.of("shorts", "path", use_hs=False, branched_paths=False, min_path=2, max_path=3, counted=True, bits_per_feature=1))
     d = error_filter(Plan(Step.of("read", "smiles"), (), outputs).apply(_read(spark, sf_dir, F.col("chain"))))
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, b: a + b)
-    sums = [total(c).alias(n) for n, c in (("m0", "f0"), ("m2", "f2"), ("path", "paths"), ("short", "shorts"))]
+    sums = [total(c).alias(n) for n, c in (("m0", "f0"), ("m2", "f2"), ("path", "paths"), ("tree", "trees"), ("short", "shorts"))]
     return d.select("row_id", *sums, (F.size("bits") == F.size("f2")).alias("same_bits"), (total(sparse(dense("f2", 2048))) == total("f2")).alias("same_dense"))
 
 
+#: Fragment hashes; a fragment twice is once under any of them.
+_HASHES = ("HetAtomTautomer", "CanonicalSmiles", "MolFormula", "AnonymousGraph", "ElementGraph", "AtomBondCounts", "NetCharge", "MurckoScaffold", "ExtendedMurcko", "DegreeVector", "Mesomer", "HetAtomProtomer", "RedoxPair",
+           "Regioisomer", "SmallWorldIndexBR", "SmallWorldIndexBRL", "ArthorSubstructureOrder", "HetAtomTautomerv2")
+
+
+def q_hashes(spark, sf_dir):
+    out = None
+    for name in _HASHES:
+        plan = Plan(Step.of("read", "smiles"), (Step.of("d", "deduplicate_fragments", hashing=name),), (SMILES,))
+        d = error_filter(plan.apply(_read(spark, sf_dir, F.expr("base || '.' || before || chain")))).select(F.lit(name).alias("hash"), "row_id", "smiles")
+        out = d if out is None else out.union(d)
+    return out
+
+
+_TOPOLOGY = ("Chi0", "Chi1", "Chi0n", "Chi1n", "Chi2n", "Chi0v", "Kappa1", "Kappa2", "Kappa3", "Phi", "BalabanJ", "HallKierAlpha")
+
+
+def q_topology(spark, sf_dir):
+    """Indices of chains of four carbons and more, which have closed forms."""
+    d = error_filter(Plan(Step.of("read", "smiles"), (), (Step.of("d", "descriptors", names=list(_TOPOLOGY)),)).apply(_read(spark, sf_dir, F.expr("'CC' || chain"))))
+    return d.select("row_id", *[(F.round(F.get("d", F.lit(i)), 4) + F.lit(0.0)).alias(n.lower()) for i, n in enumerate(_TOPOLOGY)])
+
+
+def q_atom_weights(spark, sf_dir):
+    """Weights of bits dealt over the atoms of their environments: nothing is lost, and every atom of the chain has a share."""
+    d = error_filter(Plan(Step.of("read", "smiles"), (), (Step.of("e", "morgan_atoms"),)).apply(_read(spark, sf_dir, F.col("chain"))))
+    envs = d.select("row_id", F.explode("e").alias("e")).select("row_id", "e.bit", "e.atoms")
+    weights = envs.groupBy("row_id", "bit").agg(F.count("*").cast("double").alias("w"))
+    return atom_weights(envs, weights).groupBy("row_id").agg(F.round(F.sum("weight"), 6).alias("total"), F.count("*").alias("atoms"))
+
+
+def q_table_file(spark, sf_dir):
+    """Written as a tab-separated file with a header, and read back."""
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _read(spark, sf_dir, _backwards()).select(F.col("row_id").alias("key"), F.col("input").alias("smiles")).write.option("header", True).csv(folder, sep="\t")
+    d = error_filter(Plan(Step.of("read", "smiles"), (), (SMILES,)).apply(readers.read_table(spark, folder, "smiles"), keep=("key",)))
+    return d.select(F.col("key").cast("long").alias("row_id"), "smiles")
+
+
+def q_sdf_file(spark, sf_dir):
+    """One-atom groups written as an SDF file and read back by records."""
+    folder = f"{shared_folder(spark)}/sdf-{uuid.uuid4().hex}"
+    d = compounds(spark, sf_dir).where(~F.col("bad") & F.col("after").isin("O", "N", "Cl", "Br", "S"))
+    d.select(F.rtrim(_sdf(F.length("chain"), F.col("after")), F.lit("\n")).alias("value")).write.text(folder)
+    out = error_filter(Plan(Step.of("read", "sdf"), (), (SMILES,)).apply(readers.read_sdf(spark, folder)))
+    return out.groupBy("smiles").agg(F.count("*").alias("n"))
+
+
+def q_stream(spark, sf_dir):
+    """The plan on a stream of part, error rows kept as values."""
+    part = file_stream(spark, sf_dir, "part.parquet")
+    k = F.col("p_partkey")
+    text = F.when(k % 11 == 0, "C1CC").otherwise(F.concat(F.lit("O"), F.repeat(F.lit("C"), (2 + k % 17).cast("int"))))
+    return run_available(Plan(Step.of("read", "smiles"), (), (SMILES,)).apply(part.select(k.alias("row_id"), text.alias("input"))).select("row_id", "smiles", F.col("err.element_id").alias("failed_at")))
+
+
 def q_concat(spark, sf_dir):
     parts = [["descriptors", {"names": ["HeavyAtomCount", "RingCount"]}], ["element_count", {"numbers": [6, 8]}], ["net_charge", {}], ["net_charge", {"method": "gasteiger"}]]
     plan = Plan(Step.of("read", "smiles"), (), (Step.of("v", "concat", parts=parts),))
@@ -225,6 +285,7 @@ def q_fold_metrics(spark, sf_dir):
 QUERIES = {
     "compound_canonical": q_canonical, "compound_binary": q_binary, "compound_sdf": q_sdf, "compound_composition": q_composition, "compound_fragments": partial(_q_steps, _FRAGMENTS), "compound_charges": partial(_q_steps, _CHARGES),
     "compound_atoms": partial(_q_steps, _ATOMS), "compound_scaffolds": partial(_q_steps, _SCAFFOLDS), "compound_reactions": q_reactions, "compound_filters": q_filters, "compound_error_steps": q_error_steps,
+    "compound_hashes": q_hashes, "compound_topology": q_topology, "atom_weights": q_atom_weights, "reader_table_file": q_table_file, "reader_sdf_file": q_sdf_file, "compound_stream": q_stream,
     "compound_fingerprints": q_fingerprints, "compound_concat": q_concat, "pipeline_standardized": q_standardized, "pipeline_regression": q_regression, "pipeline_reloaded": q_reloaded, "fold_metrics": q_fold_metrics,
 }
 
@@ -252,8 +313,16 @@ ORACLE_SQL = {
     "compound_filters": _M + " UNION ALL ".join(f"SELECT row_id, '{n}' AS filter FROM m WHERE {w}" for n, (_, w) in FILTERS.items()),
     "compound_error_steps": _M + ", e AS (SELECT CASE WHEN bad THEN 'read' WHEN c % 2 = 0 THEN 'empty' WHEN oh = 0 THEN 'oh' END AS element_id FROM a) SELECT element_id, count(*) AS n FROM e WHERE element_id IS NOT NULL GROUP BY 1 "
     "UNION ALL SELECT 'left', count(*) FROM e WHERE element_id IS NULL OR element_id = 'oh'",
-    "compound_fingerprints": _M + "SELECT row_id, c AS m0, CASE WHEN c = 2 THEN 3 WHEN c = 3 THEN 6 WHEN c = 4 THEN 9 ELSE 3 * c - 2 END AS m2, CAST((SELECT sum(c - l) FROM range(1, 8) x(l) WHERE l < c) AS BIGINT) AS path, "
+    "compound_fingerprints": _M + "SELECT row_id, c AS m0, CASE WHEN c = 2 THEN 3 WHEN c = 3 THEN 6 WHEN c = 4 THEN 9 ELSE 3 * c - 2 END AS m2, CAST((SELECT sum(c - l) FROM range(1, 8) x(l) WHERE l < c) AS BIGINT) AS path, CAST((SELECT sum(c - l) FROM range(1, 8) x(l) WHERE l < c) AS BIGINT) AS tree, "
     "CAST(greatest(c - 2, 0) + greatest(c - 3, 0) AS BIGINT) AS short, true AS same_bits, true AS same_dense FROM m",
+    "compound_hashes": _M + "SELECT unnest([" + ", ".join(f"'{h}'" for h in _HASHES) + "]) AS hash, row_id, base AS smiles FROM m",
+    "compound_topology": "WITH m AS (SELECT p_partkey AS row_id, 4 + p_partkey % 17 AS c FROM part WHERE p_partkey % 11 <> 0), x AS (SELECT row_id, c::DOUBLE AS c, 2 + (c - 2) / sqrt(2) AS chi0, 2 / sqrt(2) + (c - 3) / 2 AS chi1, 1 + (c - 4) / sqrt(8) AS chi2, c % 2 = 1 AS odd, "
+    "(c - 1) * (SELECT sum(1 / sqrt(((i * (i - 1) + (c - i) * (c - i + 1)) / 2) * ((i * (i + 1) + (c - i - 1) * (c - i)) / 2))) FROM range(1, 21) t(i) WHERE i < c) AS j FROM m) "
+    "SELECT row_id, round(chi0, 4) AS chi0, round(chi1, 4) AS chi1, round(chi0, 4) AS chi0n, round(chi1, 4) AS chi1n, round(chi2, 4) AS chi2n, round(chi0, 4) AS chi0v, c AS kappa1, c - 1 AS kappa2, "
+    "round(CASE WHEN odd THEN c - 1 ELSE (c - 2) ** 2 / (c - 3) END, 4) AS kappa3, c - 1 AS phi, round(j, 4) AS balabanj, 0.0::DOUBLE AS hallkieralpha FROM x",
+    "atom_weights": _M + "SELECT row_id, CAST(CASE WHEN c = 2 THEN 3 WHEN c = 3 THEN 6 WHEN c = 4 THEN 9 ELSE 3 * c - 2 END AS DOUBLE) AS total, c AS atoms FROM m",
+    "reader_table_file": _M + "SELECT row_id, base AS smiles FROM m", "reader_sdf_file": _M + "SELECT base AS smiles, count(*) AS n FROM m WHERE g BETWEEN 1 AND 5 GROUP BY 1",
+    "compound_stream": "SELECT p_partkey AS row_id, CASE WHEN p_partkey % 11 <> 0 THEN repeat('C', CAST(2 + p_partkey % 17 AS INT)) || 'O' END AS smiles, CASE WHEN p_partkey % 11 = 0 THEN 'read' END AS failed_at FROM part",
     "compound_concat": _M + "SELECT row_id, concat_ws(',', heavy + c + 3, rings, nc + c + 1, no + 2, -1, -1) AS v FROM m",
     "pipeline_standardized": _M + "SELECT row_id, round((heavy - avg(heavy) OVER ()) / stddev_pop(heavy) OVER (), 4) AS heavy, round((rings - avg(rings) OVER ()) / stddev_pop(rings) OVER (), 4) AS rings, CAST(h AS DOUBLE) AS n_h, CAST(no AS DOUBLE) AS n_o FROM m",
     "pipeline_regression": _PREDICTED, "pipeline_reloaded": _PREDICTED,

@@ -145,7 +145,7 @@ def _step(name: str):
 
 #: Molecule to molecule.
 MOL_OPS: dict[str, Callable] = {n: _step(n) for n in S.STEPS} | {
-    "canonical_tautomer": lambda most=200: lambda m: canonical_tautomer(m, most),
+    "canonical_tautomer": lambda most=2000: lambda m: canonical_tautomer(m, most),
     "reaction": lambda reaction, additives=(), handle_multi="warn": lambda m: react(m, reaction, list(additives), handle_multi),
     "passthrough": lambda: lambda m: m, "element_filter": _element_filter, "smarts_filter": _pattern_filter(parse_smarts), "smiles_filter": _pattern_filter(lambda s: pattern_of(parse_smiles(s))),
     "descriptor_filter": _descriptor_filter, "complex_filter": _complex_filter, "mixture_filter": lambda: _keep(lambda m: len(m.fragments()) <= 1, "more than one fragment"),
@@ -202,23 +202,26 @@ def _net_charge(method: str = "formal"):
 
 
 def _morgan(radius: int = 2, n_bits: int = 2048, counted: bool = False, use_features: bool = False):
-    if use_features:
-        raise ValueError("feature invariants are not supported")
     X.morgan(Mol(), radius, n_bits)
-    return lambda m: list(X.morgan(m, radius, n_bits, counted).items())
+    return lambda m: list(X.morgan(m, radius, n_bits, counted, use_features).items())
+
+
+def _morgan_atoms(radius: int = 2, n_bits: int = 2048):
+    """By bit its environments: what each atom has to do with a fingerprint."""
+    return lambda m: [{"bit": b, "atoms": atoms} for b, envs in X.morgan_atoms(m, radius, n_bits).items() for _, _, atoms in envs]
 
 
 #: Output name -> (Spark type, factory of Mol -> value).
 OUTPUTS: dict[str, tuple[str, Callable]] = {
     "smiles": ("string", lambda: to_smiles), "binary": ("binary", lambda: readers.to_binary), "bool": ("boolean", lambda: lambda m: True),
-    "morgan": ("map<int,int>", _morgan), "path": ("map<int,int>", lambda **kw: lambda m: list(X.path_fingerprint(m, **kw).items())),
+    "morgan": ("map<int,int>", _morgan), "morgan_atoms": ("array<struct<bit:int,atoms:array<int>>>", _morgan_atoms), "path": ("map<int,int>", lambda **kw: lambda m: list(X.path_fingerprint(m, **kw).items())),
     "morgan_bits": ("array<int>", lambda radius=2, n_bits=2048: lambda m: list(X.morgan(m, radius, n_bits))),
     "descriptors": ("array<double>", _descriptors), "element_count": ("array<double>", _element_count), "net_charge": ("double", _net_charge), "pattern_keys": ("map<int,int>", lambda keys: lambda m: list(X.pattern_keys(m, keys).items())),
     "pharmacophore": ("map<int,int>", lambda **kw: lambda m: list(X.pharmacophore(m, **kw).items())), "graph": ("string", lambda: lambda m: json.dumps(X.graph_features(m), separators=(",", ":"))),
     "fragments": ("int", lambda: lambda m: len(m.fragments())), "concat": ("array<double>", _concat), "scaffold": ("string", lambda: lambda m: to_smiles(S.murcko(m))),
     "n_atoms": ("int", lambda: lambda m: len(m.atoms)),
 }
-_ARROW = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "map<int,int>": pa.map_(pa.int32(), pa.int32()), "array<int>": pa.list_(pa.int32()),
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "map<int,int>": pa.map_(pa.int32(), pa.int32()), "array<struct<bit:int,atoms:array<int>>>": pa.list_(pa.struct([("bit", pa.int32()), ("atoms", pa.list_(pa.int32()))])), "array<int>": pa.list_(pa.int32()),
           "array<double>": pa.list_(pa.float64()), "double": pa.float64(), "int": pa.int32()}
 _ERR_ARROW = pa.struct([("element_id", pa.string()), ("element_name", pa.string()), ("message", pa.string())])
 
