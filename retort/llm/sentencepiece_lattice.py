@@ -33,6 +33,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,10 @@ _RAISED = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"  # digits that the expression w
 _CHUNK = re.compile(rf" *[^\W\d_{_RAISED}]+| *(?:[^\w \n]|[\d_{_RAISED}])+| +|\n")
 
 
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Pieces:
     """The vocabulary of a model file: scores of normal pieces, byte pieces, and pieces by id."""
 
@@ -62,6 +67,7 @@ class Pieces:
         self.score = {sp.id_to_piece(i): (-math.log(2 - scores[i]) - DEPART if ranks else scores[i], i) for i in normal}
         if any(len(_CHUNK.findall(p.replace(BLANK, " "))) != 1 for p in self.score):
             raise ValueError("a piece crosses a boundary; the lattice is not a chain of words")
+        self.flat: tuple | None = None
         self.trie, self.back = self._trie(lambda p: p), self._trie(lambda p: p[::-1])
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_score = min((s for s, _ in self.score.values()), default=0.0) - 10.0
@@ -81,8 +87,8 @@ class Pieces:
             node[q[-1]] = (node[q[-1]][0] if q[-1] in node else {}, self.score[p][0], (self.score[p][1],))
         return root
 
-    def merged(self, word: str) -> list[int]:
-        """BPE: the ends of the pieces, by merging the neighbours of least rank, the leftmost first. n log n for long words."""
+    def merged(self, word: str) -> list[str]:
+        """BPE: the pieces, by merging the neighbours of least rank, the leftmost first. n log n for long words."""
         rank, parts = self.rank.get, list(word)
         if len(parts) <= 48:
             cost = [rank(a + b, math.inf) for a, b in zip(parts, parts[1:])]
@@ -97,7 +103,7 @@ class Pieces:
                     cost[i] = rank(parts[i] + parts[i + 1], math.inf)
                 if i:
                     cost[i - 1] = rank(parts[i - 1] + parts[i], math.inf)
-            return list(accumulate(map(len, parts)))
+            return parts
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None]
@@ -113,13 +119,13 @@ class Pieces:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (r := rank(parts[x] + parts[y])) is not None:
                     heapq.heappush(queue, (r, x, parts[x] + parts[y]))
-        return list(accumulate(len(p) for p in parts if p))
+        return [p for p in parts if p]
 
     def own(self, word: str) -> dict[int, int] | None:
         """Start to end of the pieces of the model's own segmentation; None for a unigram model."""
         if self.rank is None:
             return None
-        ends = self.merged(word)
+        ends = list(accumulate(map(len, self.merged(word))))
         return dict(zip([0, *ends], ends))
 
     def _bytes(self, c: str) -> tuple[int, ...]:
@@ -177,15 +183,134 @@ class Pieces:
             ids = self._bytes(word[at - 1])
             yield at - 1, 0.0 if own and own.get(at - 1) == at else self.byte_score * len(ids), ids
 
+    def _departure(self, word: str, own: dict[int, int]) -> float:
+        """BPE: the best score of a segmentation that is not the model's own: forward() without what its own, of score 0, makes needless."""
+        end, trie, none = len(word), self.trie, -math.inf
+        away = [none] * (end + 1)  # the best that has left the own path somewhere
+        for i in range(end):
+            node, j, on, alone, free = trie, i, away[i], False, own.get(i)
+            before = on if free is None else 0.0
+            if before == none:
+                continue
+            while j < end:
+                step = node.get(word[j])
+                if step is None:
+                    break
+                j += 1
+                node, score, _ = step
+                if score is not None:
+                    alone |= j == i + 1
+                    new = on if j == free else before + score
+                    if new > away[j]:
+                        away[j] = new
+            if not alone:
+                new = on if free == i + 1 else before + self.byte_score * len(self._bytes(word[i]))
+                if new > away[i + 1]:
+                    away[i + 1] = new
+        return away[end]
+
     def best_and_loss(self, word: str) -> tuple[list[int], float, float]:
         """(ids, score) of the best segmentation, and what the second best loses (infinite if there is none)."""
-        first, best, second = self.forward(word, self.own(word))
+        if self.rank is not None:
+            parts = self.merged(word)
+            ends = list(accumulate(map(len, parts)))
+            return self._ids(parts), 0.0, -self._departure(word, dict(zip([0, *ends], ends)))
+        first, best, second = self.forward(word, None)
         at, path = len(word), []
         while at:
             at, _, ids = first[at]
             path.append(ids)
         return [i for ids in reversed(path) for i in ids], best[-1], best[-1] - second
 
+    def _ids(self, parts: list[str]) -> list[int]:
+        return [i for p in parts for i in ((self.score[p][1],) if p in self.score else self._bytes(p))]
+
+    def many(self, words: list[str]) -> list[tuple[list[int], float, float]]:
+        """best_and_loss of many words; of a BPE model's words of ordinary length the second best are found for all at once."""
+        if self.rank is None:
+            return [self.best_and_loss(w) for w in words]
+        parts = [self.merged(w) for w in words]
+        loss = np.zeros(len(words))
+        sizes = np.array([len(w) for w in words])
+        for lo, hi in ((0, 8), (8, 16), (16, 32)):
+            some = np.flatnonzero((sizes > lo) & (sizes <= hi))
+            for i in range(0, len(some), 4096):
+                which = some[i : i + 4096].tolist()
+                loss[which] = -self._departures([words[k] for k in which], [parts[k] for k in which], hi)
+        for k in np.flatnonzero(sizes > 32).tolist():
+            ends = list(accumulate(map(len, parts[k])))
+            loss[k] = -self._departure(words[k], dict(zip([0, *ends], ends)))
+        return [(self._ids(p), 0.0, x) for p, x in zip(parts, loss.tolist())]
+
+    def _table(self) -> tuple[np.ndarray, ...]:
+        """The trie for numpy: an open hash table of (node, character) -> node, and the scores of the nodes."""
+        scores, edges, todo = [-math.inf], {}, [(self.trie, 0)]
+        longest = max(map(len, self.score), default=1)
+        while todo:
+            node, k = todo.pop()
+            for c, (child, score, _) in node.items():
+                edges[k << 21 | ord(c)] = len(scores)
+                todo.append((child, len(scores)))
+                scores.append(-math.inf if score is None else score)
+        bits = max(4, (8 * len(edges)).bit_length())
+        keys, to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slots = _slot(np.fromiter(edges, np.int64, len(edges)), bits).tolist()
+        for (key, child), at in zip(edges.items(), slots):
+            while keys[at] >= 0:
+                at = (at + 1) & ((1 << bits) - 1)
+            keys[at], to[at] = key, child
+        return keys, to, np.array(scores), bits, longest
+
+    def _departures(self, words: list[str], parts: list[list[str]], width: int) -> np.ndarray:
+        """_departure of words of at most so many characters, side by side."""
+        if self.flat is None:
+            self.flat = self._table()
+        keys, to, scores, bits, longest = self.flat
+        n, mask = len(words), len(keys) - 1
+        padded = "".join([w.ljust(width, "\0") for w in words])
+        chars = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.int64).T.copy()  # a row for each position
+        sizes = np.array([len(w) for w in words])
+        inside = np.arange(width)[:, None] < sizes
+        # where the own piece that begins here ends
+        free = np.zeros((width, n), np.int32)
+        rows = np.repeat(np.arange(n), [len(p) for p in parts])
+        lengths = np.array([len(x) for p in parts for x in p])
+        ends = np.cumsum(lengths) - np.repeat(np.cumsum(sizes) - sizes, [len(p) for p in parts])
+        free[ends - lengths, rows] = ends
+        # every start of every word walks down the trie; those without an edge drop out
+        table = []
+        i, w = np.nonzero(inside)
+        node = np.zeros(len(w), np.int64)
+        for k in range(min(longest, width)):
+            key = node << 21 | chars[i + k, w]
+            at = _slot(key, bits)
+            there = keys[at]
+            while len(miss := np.flatnonzero((there != key) & (there >= 0))):
+                at[miss] = (at[miss] + 1) & mask
+                there[miss] = keys[at[miss]]
+            found = np.flatnonzero(there == key)
+            w, i, node = w[found], i[found], to[at[found]].astype(np.int64)
+            layer = np.full((width, n), -math.inf)
+            layer[i, w] = scores[node]
+            table.append(layer)
+            more = np.flatnonzero(i + k + 1 < sizes[w])
+            w, i, node = w[more], i[more], node[more]
+            if not len(w):
+                break
+        size = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        lone = (table[0] == -math.inf) & inside
+        table[0][lone] = self.byte_score * size[lone]
+        away = np.full((width + 1, n), -math.inf)
+        for i in range(width):
+            on, own = away[i], free[i]
+            before = np.where(own > 0, 0.0, on)
+            for k in range(min(len(table), width - i)):
+                new = before + table[k][i]
+                mine = np.flatnonzero(own == i + k + 1)
+                new[mine] = on[mine]
+                np.maximum(away[i + k + 1], new, out=away[i + k + 1])
+        return away[sizes, np.arange(n)]
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first (fewer if there are no more)."""
         own = self.own(word)
@@ -229,11 +354,9 @@ class Encoder:
         self.score, self.loss, self.at, self.size, self.pool = array("d", [0.0]), array("d", [math.inf]), array("i", [0]), array("i", [0]), array("i")
         self.uses = np.zeros(1, np.int32)
 
-    def _solve(self, word: str) -> int:
-        if word in self.number:  # met twice in one text
-            return self.number[word]
-        self._append(word, *self.pieces.best_and_loss(word.replace(" ", BLANK)))
-        return self.number[word]
+    def _solve(self, words: list[str]) -> None:
+        for word, found in zip(words, self.pieces.many([w.replace(" ", BLANK) for w in words])):
+            self._append(word, *found)
 
     def _append(self, word: str, ids: Iterable[int], score: float, loss: float) -> None:
         self.number[word] = len(self.score)
@@ -250,13 +373,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the n best segmentations of the whole text."""
-        if not text:
-            return [(0.0, np.zeros(0, np.int32))]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
+        """encode() of each; the words that are new are solved together."""
         if len(self.number) >= self.cached:
             self._forget()
-        get, solve = self.number.get, self._solve
-        chunks = _CHUNK.findall(" " + text.replace(BLANK, " "))  # with blanks as spaces, words take half the memory
-        words = np.array([get(w) or solve(w) for w in chunks], np.int32)
+        get = self.number.get
+        # with blanks as spaces, words take half the memory
+        chunks = [_CHUNK.findall(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
+        found = [list(map(get, c)) for c in chunks]
+        if new := list(dict.fromkeys(w for c, f in zip(chunks, found) if None in f for w, k in zip(c, f) if k is None)):
+            self._solve(new)
+        return [self._encode(c, list(map(get, c)) if None in f else f) for c, f in zip(chunks, found)]
+
+    def _encode(self, chunks: list[str], numbers: list[int]) -> list[tuple[float, np.ndarray]]:
+        if not chunks:
+            return [(0.0, np.zeros(0, np.int32))]
+        words = np.array(numbers, np.int32)
         if len(self.uses) < len(self.score):
             self.uses = np.concatenate([self.uses, np.zeros(max(1 << 16, len(self.score) - len(self.uses)), np.int32)])
         self.uses[words] += 1
@@ -311,6 +445,18 @@ def _encoder(model: bytes, n_best: int) -> Encoder:
     return _ENCODERS[key]
 
 
+def _slices(lengths: list[int], most_rows: int = 256, most_chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Bounds of rows that are encoded together: their words and output stay in memory at a time."""
+    start = chars = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= most_rows or chars + n > most_chars):
+            yield start, i
+            start, chars = i, 0
+        chars += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n_best: int = N_BEST,
                      keep: tuple[str, ...] = ()) -> DataFrame:
     """-> keep..., doc_id, n_pieces, piece_ids, score, next_scores, alt_sha256 (second best), round_trip."""
@@ -323,10 +469,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         encoder = None
         for whole in batches:
             encoder = encoder or _encoder(shared.value, n_best)
-            for at in range(0, whole.num_rows, 256):  # bounds the output batch, whose rows may be long
-                b = whole.slice(at, 256)
+            lengths = pc.fill_null(pc.utf8_length(whole.column(len(keep) + 1)), 0).to_pylist()
+            for at, end in _slices(lengths):
+                b = whole.slice(at, end - at)
                 texts = [t.as_py() or "" for t in b.column(len(keep) + 1)]
-                found = [encoder.encode(t) for t in texts]
+                found = encoder.encode_many(texts)
                 ids = [f[0][1] for f in found]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 second = [hashlib.sha256(f[1][1].tobytes()).hexdigest() if len(f) > 1 else None for f in found]
