@@ -29,7 +29,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ class Pieces:
         self.score = {sp.id_to_piece(i): (-math.log(2 - scores[i]) - DEPART if ranks else scores[i], i) for i in normal}
         if any(len(_CHUNK.findall(p.replace(BLANK, " "))) != 1 for p in self.score):
             raise ValueError("a piece crosses a boundary; the lattice is not a chain of words")
+        self.ids = {p: i for p, (_, i) in self.score.items()}
         self.flat: tuple | None = None
         self.trie, self.back = self._trie(lambda p: p), self._trie(lambda p: p[::-1])
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -89,20 +91,18 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """BPE: the pieces, by merging the neighbours of least rank, the leftmost first. n log n for long words."""
-        rank, parts = self.rank.get, list(word)
+        rank, parts, none = self.rank.get, list(word), math.inf
         if len(parts) <= 48:
-            cost = [rank(a + b, math.inf) for a, b in zip(parts, parts[1:])]
-            while cost:
-                least = min(cost)
-                if least == math.inf:
-                    break
+            cost = list(map(rank, map(add, parts, parts[1:]), repeat(none)))
+            while cost and (least := min(cost)) != none:
                 i = cost.index(least)
-                parts[i] += parts.pop(i + 1)
+                both = parts[i] + parts.pop(i + 1)
+                parts[i] = both
                 del cost[i]
                 if i < len(cost):
-                    cost[i] = rank(parts[i] + parts[i + 1], math.inf)
+                    cost[i] = rank(both + parts[i + 1], none)
                 if i:
-                    cost[i - 1] = rank(parts[i - 1] + parts[i], math.inf)
+                    cost[i - 1] = rank(parts[i - 1] + both, none)
             return parts
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -223,7 +223,10 @@ class Pieces:
         return [i for ids in reversed(path) for i in ids], best[-1], best[-1] - second
 
     def _ids(self, parts: list[str]) -> list[int]:
-        return [i for p in parts for i in ((self.score[p][1],) if p in self.score else self._bytes(p))]
+        try:
+            return [self.ids[p] for p in parts]
+        except KeyError:
+            return [i for p in parts for i in ((self.ids[p],) if p in self.ids else self._bytes(p))]
 
     def many(self, words: list[str]) -> list[tuple[list[int], float, float]]:
         """best_and_loss of many words; of a BPE model's words of ordinary length the second best are found for all at once."""
@@ -347,6 +350,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n_best: int = N_BEST, cached: int = CACHED_WORDS):
         self.pieces, self.n, self.cached = pieces, n_best, max(2, cached)
+        #: The n best of the words that take part in other segmentations; mostly the same few.
+        self.choices: dict[str, list] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -397,13 +402,13 @@ class Encoder:
         size, loss = np.frombuffer(self.size, np.int32)[words], np.frombuffer(self.loss)[words]
         ends = np.cumsum(size)
         ids = np.frombuffer(self.pool, np.int32)[np.arange(ends[-1]) + np.repeat(np.frombuffer(self.at, np.int32)[words] - (ends - size), size)]
-        score = math.fsum(np.frombuffer(self.score)[words])
+        score = math.fsum(np.frombuffer(self.score)[words]) if self.pieces.rank is None else 0.0
         out = [(score, ids)]
         # only the words of the n - 1 least losses can take part in another one of the n best
         few = min(self.n - 1, len(loss))
         least = [] if few < 1 else sorted(i for i in np.argsort(loss, kind="stable")[:few].tolist() if loss[i] < math.inf)
         if least:
-            choices = [self.pieces.n_best(chunks[i].replace(" ", BLANK), self.n) for i in least]
+            choices = [self._choices(chunks[i]) for i in least]
             for lost, choice in self._combine([[c[0][0] - s for s, _ in c] for c in choices]):
                 new, upto = [], 0
                 for i, c, k in zip(least, choices, choice):
@@ -412,6 +417,16 @@ class Encoder:
                 out.append((score - lost, np.concatenate([*new, ids[upto:]])))
         return out
 
+    def _choices(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        found = self.choices.get(word)
+        if found is None:
+            found = self.pieces.n_best(word.replace(" ", BLANK), self.n)
+            if len(word) <= 64:
+                if len(self.choices) >= 20_000:
+                    self.choices.clear()
+                self.choices[word] = found
+        return found
+
     def _combine(self, losses: list[list[float]]) -> list[tuple[float, tuple[int, ...]]]:
         """The n - 1 least sums of one loss a word, after that of no loss at all."""
         start = (0,) * len(losses)
