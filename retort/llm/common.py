@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retort.functions.shared import checkpoint, shared_folder
 
-__all__ = ["WS", "buckets_for", "checkpoint", "fresh", "input_bytes", "let", "shared_folder", "table"]
+__all__ = ["WS", "buckets_for", "checkpoint", "fresh", "input_bytes", "let", "map_rows", "shared_folder", "table"]
 
 #: White space of every word contract: blank and the controls 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
@@ -33,6 +33,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_rows(docs: DataFrame, run: Callable) -> DataFrame:
+    """docs.mapInArrow(run) to the same columns, whatever their names (mapInArrow itself takes none with a dot)."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), docs.schema)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate (file sizes for a scan); no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

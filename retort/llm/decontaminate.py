@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from retort.llm.common import table
+from retort.llm.common import map_rows, table
 
 ERROR_RATE, ITEM_CHARS = 0.05, 4_000_000
 
@@ -171,7 +171,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 texts = b.column(b.schema.get_field_index(text_col))
                 yield b.filter(pa.array([not _matcher_of(shared, cache).find(t.as_py()) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retort.llm.common import table
+from retort.llm.common import map_rows, table
 
 TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 200, 1000, 40_000
 ALL_DOCS, ALL_CHARS = 12_800, 640_000
@@ -223,7 +223,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield b.filter(pa.array([x[0] != UND for x in predict(shared.value, texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm.common import table
+from retort.llm.common import map_rows, table
 
 BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "ssn")
 KINDS = BASE + ADDED
@@ -168,7 +168,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", n_chars_col: str =
                 columns[j] = pa.array([n if a == t else len(t) for n, a, t in zip(b.column(j).to_pylist(), old, new)], b.schema.field(j).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

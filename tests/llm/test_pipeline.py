@@ -41,13 +41,15 @@ def test_pipeline_with_long_texts_repeats_nulls_and_clashing_names(spark, tmp_pa
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in table(spark, D, "documents").limit(40).collect()]
     long = " ".join(rows[0][1].split()[:50] * 400)
     rows += [rows[3], rows[3], (None, rows[4][1], None, None), (900, None, "en", "s"), (901, long, "en", "s"), (902, "", "en", "s")]
-    names = ["at", "node", "key", "__key", "hub", "set", "part", "size", "id", "row"]
+    names = ["at", "a.b", "node", "key", "__key", "hub", "set", "part", "size", "id", "row"]
     d = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
     d.write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, D, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in got]
     assert len(set(ids)) == len(ids) and 901 in ids and not {None, 900, 902} & set(ids)
+    bare = corpus_pipeline.stage_encode(spark, d.select("doc_id", "text", "lang"), str(tmp_path))
+    assert bare.columns[:2] == ["lang", "doc_id"] and bare.count() == d.count()
     stage = near_copies.keep_representatives(d)
     assert stage.columns == d.columns and stage.where("doc_id = 3").count() <= 1
 
