@@ -1,13 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more.
 
-At that similarity two 64-bit SimHashes differ in ten bits on average, a budget at which the keys of pigeonring segments select nothing
-(with twelve fingerprints and two bits, 27 % of the pairs at 0.80-0.85 met). So candidates meet by minimum hashes instead, SimHashes
-of 512 bits in all prune them, and an exact comparison decides:
-
-1. Each distinct text gets ``BANDS`` keys (the least values of ``BAND_ROWS`` hash functions over its set; at similarity 0.8 a pair shares
-   none with the chance (1 - 0.8**5)**40 = 1.2e-7) and ``PRINTS`` SimHashes of its set.
-2. Under each key the text that meets most others under all its keys is the hub; a hub and all that meet it are a neighbourhood. Two texts
-   that share a key are in one neighbourhood. No pair is ever a row: neighbourhoods are rows (hub, node).
+Candidates meet by pigeonring over SimHashes, SimHashes of 512 bits in all prune them, and an exact comparison decides:
+
+1. Each distinct text gets ``RINGS`` SimHashes of its set (sets of at most ``FEW`` shingles, whose bits differ more, ``RINGS_FEW``). At similarity
+   0.8 two SimHashes differ in 0.1515 of the bits, 9.7 of 64: more than equal keys of one print can cover, so many prints share the work.
+2. Each print is a ring of ``SEGMENTS`` segments; each of them starts a chain. Two texts meet there if the first segment is equal (the key) and every
+   longer chain, up to the whole ring, keeps its part of ``RING_BUDGET`` bits: l * RING_BUDGET / SEGMENTS for l segments. Prints within three bits
+   always have an equal segment. Beyond that it is a matter of chance: at 0.8 a chain holds with 0.8485**16 * 0.967 = 0.069, and a
+   pair meets under none of the 192 with the chance 9e-7 (large sets; the worst small ones 7e-6). A key under which more than ``CROWD`` texts lie
+   is not filtered: there, all meet.
+   Under each key the text that meets most others under all its keys is the hub; a hub and all that meet it are a neighbourhood. Two texts
+   that meet are in one neighbourhood. No pair is ever a row: neighbourhoods are rows (hub, node).
 3. A neighbourhood is dealt into blocks of bounded rows and shingles, and each task takes two of them. A first pass finds the texts with
    any partner of fitting size and at most ``BUDGET`` differing bits; only their sets are sent to the second.
 4. The second pass compares exactly: first with the hub, then whatever is not yet linked inside the task. It returns a spanning forest.
@@ -27,13 +30,17 @@ from pyspark.sql import functions as F
 
 from retort.functions.grouped import dealt, sorted_groups
 from retort.llm.common import checkpoint, fresh
-from retort.llm.simhash import majority, mixed, shingle_hashes
+from retort.llm.simhash import majorities, shingle_hashes
 from retort.operators.components import connected_components
 
 #: Words of a shingle; least similarity, as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
-BANDS, BAND_ROWS = 40, 5
-#: SimHashes of a text. Two sets of similarity 0.8 differ in 0.1515 of the bits: 77.6 of 512, deviation 8.1. The budget is six deviations more.
+#: SimHashes whose rings are searched, for all sets and for those of at most FEW shingles; segments of a ring; bits in which a ring may differ.
+RINGS, RINGS_FEW, FEW = 48, 112, 20
+SEGMENTS, RING_BUDGET, CROWD = 4, 12, 4096
+#: Texts under the keys that one group of rows holds, about.
+SLOT_ROWS = 1 << 15
+#: SimHashes of a text that prune. Two sets of similarity 0.8 differ in 0.1515 of the bits: 77.6 of 512, deviation 8.1. The budget is six deviations more.
 #: Sets of fewer than PRUNE_FROM shingles are always compared exactly.
 PRINTS, BUDGET, PRUNE_FROM = 8, 126, 64
 #: A block of a neighbourhood.
@@ -41,8 +48,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 21
 #: Of the filter before texts are fetched; a power of two.
 FILTER_BITS = 1 << 24
 
-_RNG = np.random.default_rng(42)
-_XOR, _MUL = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(low) for low in (0, 1))
+_WIDTH = 64 // SEGMENTS
 _TOP, _BELOW = SIMILARITY
 
 
@@ -51,44 +57,29 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-@np.errstate(over="ignore")
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys: each stands for its number and the least values of BAND_ROWS hash functions over the set."""
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(shingles), 2048):  # bounded memory for very long texts
-        part = shingles[i : i + 2048, None] ^ _XOR
-        part *= _MUL
-        np.minimum(least, part.min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys
+def prints(shingles: np.ndarray, count: int = PRINTS) -> np.ndarray:
+    """That many independent SimHashes of the set."""
+    return majorities(shingles, count)
 
 
-def prints(shingles: np.ndarray) -> np.ndarray:
-    """PRINTS independent SimHashes of the set."""
-    return np.array([majority(mixed(shingles, k)) for k in range(PRINTS)], np.uint64)
-
-
-def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     flat = pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64))
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, key, text -> id, key, size, bands, prints."""
+    """id, key, text -> id, key, size, rings."""
     for b in batches:
         known: dict[str, tuple] = {}
         found = []
         for key, text in zip(b.column(1).to_pylist(), b.column(2)):
             if key not in known:
                 s = shingle_set(text.as_py())
-                known[key] = len(s), band_keys(s), prints(s)
+                known[key] = len(s), prints(s, RINGS if len(s) > FEW else RINGS_FEW)
             found.append(known[key])
-        sizes = pa.array([f[0] for f in found], pa.int64())
-        columns = [b.column(0), b.column(1), sizes, _lists([f[1] for f in found], BANDS), _lists([f[2] for f in found], PRINTS)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "size", "bands", "prints"])
+        columns = [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), _lists([f[1] for f in found])]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "size", "rings"])
 
 
 def _row_key(key: Column, id: Column) -> Column:
@@ -97,20 +88,79 @@ def _row_key(key: Column, id: Column) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each distinct text: node (a number of its own), key (MD5), best (its least id, nulls last), size, bands, prints."""
+    """One row for each distinct text: node (a number of its own), key (MD5), best (its least id, nulls last), size, rings, prints (the first of them)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    signed = rows.mapInArrow(_signed, f"id {kind}, key string, size long, bands array<long>, prints array<long>")
+    signed = rows.mapInArrow(_signed, f"id {kind}, key string, size long, rings array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("best")
-    first = F.first(F.struct("size", "bands", "prints")).alias("s")
+    first = F.first(F.struct("size", "rings")).alias("s")
     texts = checkpoint(signed.groupBy("key").agg(best, first).select("key", "best", "s.*"))
-    return texts.withColumn("node", F.monotonically_increasing_id())  # fixed, as it numbers the rows of a checkpoint
+    texts = texts.withColumn("node", F.monotonically_increasing_id())  # fixed, as it numbers the rows of a checkpoint
+    return texts.withColumn("prints", F.slice("rings", 1, PRINTS))
+
+
+def _chains(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """node, rings -> slot (print, segment and the top depth bits of the key), entries (node and print, turned so that the key is lowest)."""
+    for b in batches:
+        node, rings = b.column(0).to_numpy(), b.column(1)
+        starts, flat = rings.offsets.to_numpy(), rings.values.to_numpy().view(np.uint64)
+        counts = np.diff(starts)
+        for k in range(counts.max(initial=0)):
+            has = np.flatnonzero(counts > k)
+            print_, slots, cuts, entries = flat[starts[has] + k], [], [0], []
+            for i in range(SEGMENTS):
+                turned = print_ if not i else (print_ >> np.uint64(i * _WIDTH)) | (print_ << np.uint64(64 - i * _WIDTH))
+                slot = (turned & np.uint64((1 << _WIDTH) - 1)) >> np.uint64(_WIDTH - depth)
+                order = np.argsort(slot, kind="stable")
+                some, first = np.unique(slot[order], return_index=True)
+                slots.append(some.astype(np.int64) + ((SEGMENTS * k + i) << _WIDTH))
+                cuts += [cuts[-1] + n for n in np.append(first[1:], len(order)).tolist()]
+                entries.append(np.stack([node[has][order], turned[order].view(np.int64)], axis=1))
+            ends = pa.array(np.array(cuts, np.int32) * 16)
+            packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, ends.buffers()[1], pa.py_buffer(np.concatenate(entries))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), packed], ["slot", "entries"])
+
+
+def chain_partners(turned: np.ndarray) -> np.ndarray:
+    """Prints, turned, in the order of their keys -> whether each has a partner of the same key with which every chain from there keeps its budget."""
+    key = turned & np.uint64((1 << _WIDTH) - 1)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    lengths = np.diff(np.append(first, len(key)))
+    ends, met = np.repeat(first + lengths, lengths), np.repeat(lengths > CROWD, lengths)
+    at, step = np.flatnonzero(~met), 1
+    while len(at := at[at + step < ends[at]]):
+        differ = turned[at] ^ turned[at + step]
+        near = np.flatnonzero(np.bitwise_count(differ) <= RING_BUDGET)
+        for n in range(2, SEGMENTS):
+            near = near[np.bitwise_count(differ[near] & np.uint64((1 << n * _WIDTH) - 1)) * SEGMENTS <= n * RING_BUDGET]
+        met[at[near]] = met[at[near] + step] = True
+        step += 1
+    return met
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, entries -> node, band (segment and key): those that meet another there."""
+    for t in sorted_groups(batches, "slot"):
+        entries = np.frombuffer(b"".join(t.column("entries").to_pylist()), np.int64).reshape(-1, 2)
+        turned, low = entries[:, 1].view(np.uint64), (1 << _WIDTH) - 1
+        order = np.argsort(turned & np.uint64(low), kind="stable")
+        order = order[chain_partners(turned[order])]
+        if len(order):
+            band = (entries[order, 1] & low) | (t.column("slot")[0].as_py() & ~low)
+            yield pa.RecordBatch.from_arrays([pa.array(entries[order, 0]), pa.array(band)], ["node", "band"])
+
+
+def ring_keys(signed: DataFrame) -> DataFrame:
+    """-> node, band: the keys under which a text meets another by pigeonring."""
+    depth = min(_WIDTH, (signed.count() // SLOT_ROWS).bit_length())
+    chains = signed.select("node", "rings").mapInArrow(lambda batches: _chains(batches, depth), "slot long, entries binary")
+    return checkpoint(dealt(chains, "slot").mapInArrow(_met, "node long, band long"))
 
 
 def neighbourhoods(signed: DataFrame) -> DataFrame:
-    """-> hub, node: distinct; two nodes that share a band key share a hub."""
-    keyed = signed.select("node", F.explode("bands").alias("band"))
-    met = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    """-> hub, node: distinct; two nodes that meet by pigeonring share a hub."""
+    keyed = ring_keys(signed)
+    met = keyed.groupBy("band").agg(F.count("*").alias("n"))
     own = keyed.join(met, "band").groupBy("node").agg(F.sum("n").alias("met"), F.collect_list("band").alias("bands"))
     keyed = checkpoint(own.select("node", "met", F.explode("bands").alias("band")))
     hubs = keyed.groupBy("band").agg(F.max(F.struct("met", F.negative("node").alias("low"))).alias("top"))

@@ -81,6 +81,50 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@np.errstate(over="ignore")
+def majorities(hashes: np.ndarray, count: int) -> np.ndarray:
+    """majority(mixed(hashes, k)) for every k below count, all bits counted side by side.
+
+    Bit b of the words of level w stands for 2**w ones at bit b. Three words of a level are one of it and one of the next (a full adder).
+    """
+    keys = np.array([0x9E3779B97F4A7C15 * k % (1 << 64) for k in range(count)], np.uint64)
+    levels: list[np.ndarray] = []
+    for i in range(0, len(hashes), 512):  # bounded memory for very long texts
+        part = hashes[i : i + 512]
+        add = part[:, None] ^ keys
+        add *= np.uint64(0xBF58476D1CE4E5B9)
+        add ^= add >> np.uint64(29)
+        add *= np.uint64(0x94D049BB133111EB)
+        add ^= add >> np.uint64(32)
+        add[:, 0] = part
+        w = 0
+        while len(add):
+            if w == len(levels):
+                levels.append(add[:0])
+            rows, carries = np.concatenate([levels[w], add]), [add[:0]]
+            while (n := len(rows) // 3) > 0:
+                a, b, c = rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n]
+                differ = a ^ b
+                carries.append((a & b) | (differ & c))
+                rows = np.concatenate([rows[3 * n :], differ ^ c])
+            levels[w], add, w = rows, np.concatenate(carries), w + 1
+    none = np.zeros(count, np.uint64)
+    digits, carry = [], none
+    for rows in levels:
+        a, b = [*rows, none, none][:2]
+        digits.append(a ^ b ^ carry)
+        carry = (a & b) | ((a ^ b) & carry)
+    digits.append(carry)
+    over, level = none.copy(), ~none  # over half, and equal to it so far, from the highest digit
+    for w in reversed(range(len(digits))):
+        if len(hashes) // 2 >> w & 1:
+            level &= digits[w]
+        else:
+            over |= level & digits[w]
+            level &= ~digits[w]
+    return over
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """-> doc_id, fp (signed long)."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from retort.llm import decontaminate, language_id, near_copies, pii
+from retort.llm import decontaminate, language_id, near_copies, pii, simhash
 from retort.llm.common import table
 
 D = "/root/testdata/sf0.001"
@@ -86,3 +86,44 @@ def test_simhash_budget_keeps_pairs_of_the_least_similarity():
         x, y = near_copies.shingle_set(" ".join(words[:n]), 1), near_copies.shingle_set(" ".join(words), 1)
         over += sum(int(a ^ b).bit_count() for a, b in zip(near_copies.prints(x), near_copies.prints(y))) > near_copies.BUDGET
     assert over == 0
+
+
+def brute_meet(x, y):
+    """Whether, from some of the four segments of 16 bits of two prints, l segments differ in at most 3 l bits, and the first in none."""
+    d = x ^ y
+    turned = [(d >> 16 * i | d << 64 - 16 * i) & (1 << 64) - 1 for i in range(4)]
+    return any(not t & 0xFFFF and all((t & (1 << 16 * n) - 1).bit_count() <= 3 * n for n in (2, 3, 4)) for t in turned)
+
+
+def test_near_dedup_candidates_meet_by_pigeonring_over_simhashes(spark, monkeypatch):
+    texts = some_texts(random.Random(5), 3, 25, 60)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_copies.signatures(d, "doc_id", "text")
+    rings = {r.node: [x % (1 << 64) for x in r.rings] for r in signed.collect()}
+    assert {len(r) for r in rings.values()} == {near_copies.RINGS, near_copies.RINGS_FEW}
+    want = {(a, b) for a in rings for b in rings if a < b and any(brute_meet(x, y) for x, y in zip(rings[a], rings[b]))}
+    for slots, crowd in ((1 << 15, 4096), (16, 4096), (1 << 15, 3)):  # keys in one group, or many; crowded keys lose none
+        monkeypatch.setattr(near_copies, "SLOT_ROWS", slots)
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        groups = {}
+        for r in near_copies.neighbourhoods(signed).collect():
+            groups.setdefault(r.hub, set()).add(r.node)
+        assert all(any(a in g and b in g for g in groups.values()) for a, b in want) and want
+        assert crowd < 4096 or set().union(*groups.values()) == {n for pair in want for n in pair}
+
+
+def test_pigeonring_meets_pairs_of_the_least_similarity():
+    rng, lost = random.Random(4), 0
+    for n in [4, 8, 12, 16, 20, 64, 400] * 30:
+        words = [f"w{rng.randrange(10**7)}" for _ in range(n + n // 4)]  # sets of n and 5/4 n: similarity 0.8
+        x, y = (near_copies.shingle_set(" ".join(w), 1) for w in (words[:n], words))
+        x, y = (near_copies.prints(s, near_copies.RINGS if len(s) > near_copies.FEW else near_copies.RINGS_FEW).tolist() for s in (x, y))
+        lost += not any(brute_meet(a, b) for a, b in zip(x, y))
+    assert lost == 0
+
+
+def test_majorities_count_as_one_print_alone():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 4, 64, 511, 512, 1500):
+        hashes = simhash.shingle_hashes(" ".join(f"w{rng.randrange(10**7)}" for _ in range(n)), 1)
+        assert simhash.majorities(hashes, 20).tolist() == [simhash.majority(simhash.mixed(hashes, k)) for k in range(20)]
