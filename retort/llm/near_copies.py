@@ -9,8 +9,8 @@ Candidates meet by pigeonring over SimHashes, SimHashes of 512 bits in all prune
    always have an equal segment. Beyond that it is a matter of chance: at 0.8 a chain holds with 0.8485**16 * 0.967 = 0.069, and a
    pair meets under none of the 192 with the chance 9e-7 (large sets; the worst small ones 7e-6). A key under which more than ``CROWD`` texts lie
    is not filtered: there, all meet.
-   Under each key the text that meets most others under all its keys is the hub; a hub and all that meet it are a neighbourhood. Two texts
-   that meet are in one neighbourhood. No pair is ever a row: neighbourhoods are rows (hub, node).
+   Under each key the text that meets most others under all its keys is the hub; the greatest hub a text meets is its home. A hub and all at home
+   with it are a neighbourhood, and so are the hub and all texts of a key under which homes differ: two texts that meet are in one. No pair is ever a row: neighbourhoods are rows (hub, node).
 3. A neighbourhood is dealt into blocks of bounded rows and shingles, and each task takes two of them. A first pass finds the texts with
    any partner of fitting size and at most ``BUDGET`` differing bits; only their sets are sent to the second.
 4. The second pass compares exactly: first with the hub, then whatever is not yet linked inside the task. It returns a spanning forest.
@@ -164,7 +164,11 @@ def neighbourhoods(signed: DataFrame) -> DataFrame:
     own = keyed.join(met, "band").groupBy("node").agg(F.sum("n").alias("met"), F.collect_list("band").alias("bands"))
     keyed = checkpoint(own.select("node", "met", F.explode("bands").alias("band")))
     hubs = keyed.groupBy("band").agg(F.max(F.struct("met", F.negative("node").alias("low"))).alias("top"))
-    return checkpoint(keyed.join(hubs, "band").select(F.negative("top.low").alias("hub"), "node").distinct())
+    each = keyed.join(hubs, "band").groupBy("node").agg(F.max("top").alias("home"), F.collect_list(F.struct("band", "top")).alias("at"))
+    each = checkpoint(each.select("node", "home", F.explode("at").alias("at")).select("node", F.negative("home.low").alias("home"), "at.band", F.negative("at.top.low").alias("hub")))
+    apart = each.groupBy("band").agg(F.min("home").alias("l"), F.max("home").alias("h")).where("l < h").select("band")
+    others = each.where("hub <> home").join(apart, "band").select("hub", "node")
+    return checkpoint(each.select(F.col("home").alias("hub"), "node").union(others).distinct())
 
 
 def _large(rows: DataFrame) -> DataFrame:
