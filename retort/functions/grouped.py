@@ -32,3 +32,20 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows, sorted by integer keys, in tables of many groups each; no group is cut."""
+    rest: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        ids = np.stack([t.column(k).to_numpy() for k in keys])
+        cut = int(np.flatnonzero((ids != ids[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None:
+        yield rest

@@ -1,6 +1,6 @@
 """Near copies: texts whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more.
 
-Candidates meet by pigeonring over SimHashes, SimHashes of 512 bits in all prune them, and an exact comparison decides:
+Candidates meet by pigeonring over SimHashes, SimHashes of 1,536 bits in all prune them, and an exact comparison decides:
 
 1. Each distinct text gets ``RINGS`` SimHashes of its set (sets of at most ``FEW`` shingles, whose bits differ more, ``RINGS_FEW``). At similarity
    0.8 two SimHashes differ in 0.1515 of the bits, 9.7 of 64: more than equal keys of one print can cover, so many prints share the work.
@@ -9,11 +9,12 @@ Candidates meet by pigeonring over SimHashes, SimHashes of 512 bits in all prune
    always have an equal segment. Beyond that it is a matter of chance: at 0.8 a chain holds with 0.8485**16 * 0.967 = 0.069, and a
    pair meets under none of the 192 with the chance 9e-7 (large sets; the worst small ones 7e-6). A key under which more than ``CROWD`` texts lie
    is not filtered: there, all meet.
-   Under each key the text that meets most others under all its keys is the hub; the greatest hub a text meets is its home. A hub and all at home
+3. Most that meet in a large group of texts with one long passage in common are less similar. So a text stays under a key only if another there is of
+   fitting size and differs from it in at most ``BUDGET`` of the bits that prune (or is too small to be pruned).
+   Under each key left the text that meets most others under all its keys is the hub; the greatest hub a text meets is its home. A hub and all at home
    with it are a neighbourhood, and so are the hub and all texts of a key under which homes differ: two texts that meet are in one. No pair is ever a row: neighbourhoods are rows (hub, node).
-3. A neighbourhood is dealt into blocks of bounded rows and shingles, and each task takes two of them. A first pass finds the texts with
-   any partner of fitting size and at most ``BUDGET`` differing bits; only their sets are sent to the second.
-4. The second pass compares exactly: first with the hub, then whatever is not yet linked inside the task. It returns a spanning forest.
+4. Only the sets of texts with a neighbourhood are made. It is dealt into blocks of bounded rows and shingles, and each task takes two of them.
+   It compares exactly: first with the hub, then whatever is not yet linked inside the task. It returns a spanning forest.
 
 Defined results: a null text counts as empty, and two texts without a word are equal; fewer than five words are one shingle; repeated rows
 are copies; an empty table gives an empty one.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.functions.grouped import dealt, sorted_groups
+from retort.functions.grouped import dealt, sorted_groups, whole_groups
 from retort.llm.common import checkpoint, fresh
 from retort.llm.simhash import majorities, shingle_hashes
 from retort.operators.components import connected_components
@@ -40,9 +41,9 @@ RINGS, RINGS_FEW, FEW = 48, 112, 20
 SEGMENTS, RING_BUDGET, CROWD = 4, 12, 4096
 #: Texts under the keys that one group of rows holds, about.
 SLOT_ROWS = 1 << 15
-#: SimHashes of a text that prune. Two sets of similarity 0.8 differ in 0.1515 of the bits: 77.6 of 512, deviation 8.1. The budget is six deviations more.
-#: Sets of fewer than PRUNE_FROM shingles are always compared exactly.
-PRINTS, BUDGET, PRUNE_FROM = 8, 126, 64
+#: SimHashes of a text that prune. Two sets of similarity 0.8 differ in 0.1515 of the bits, in 0.1536 at most from PRUNE_FROM shingles on: 235.9 of 1,536,
+#: deviation 14.1. The budget is six deviations more. Sets of fewer than PRUNE_FROM shingles are always compared exactly.
+PRINTS, BUDGET, PRUNE_FROM = 24, 321, 64
 #: A block of a neighbourhood.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 21
 #: Of the filter before texts are fetched; a power of two.
@@ -157,9 +158,55 @@ def ring_keys(signed: DataFrame) -> DataFrame:
     return checkpoint(dealt(chains, "slot").mapInArrow(_met, "node long, band long"))
 
 
-def neighbourhoods(signed: DataFrame) -> DataFrame:
-    """-> hub, node: distinct; two nodes that meet by pigeonring share a hub."""
-    keyed = ring_keys(signed)
+def near_partners(group: np.ndarray, size: np.ndarray, block: np.ndarray, across: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Rows in the order of their groups, by size within each -> whether each may be as similar as asked for to another of its group.
+
+    Where across holds, only rows of different blocks are compared. words: a column for each row, a row for each print.
+    """
+    ends = np.searchsorted(group, group, side="right")
+    alive, at, step = np.zeros(len(group), bool), np.arange(len(group)), 1
+    while len(at := at[at + step < ends[at]]):
+        at = at[size[at] * _BELOW >= size[at + step] * _TOP]  # those after it are larger still
+        x = at[~(alive[at] & alive[at + step]) & (~across[at] | (block[at] != block[at + step]))]
+        small = x[size[x] < PRUNE_FROM]
+        alive[small] = alive[small + step] = True
+        x = x[size[x] >= PRUNE_FROM]
+        differ = np.zeros(len(x), np.int64)
+        for k in range(PRINTS):
+            differ += np.bitwise_count(words[k, x] ^ words[k, x + step])
+            if k % 8 == 7:
+                near = differ <= BUDGET
+                x, differ = x[near], differ[near]
+        alive[x] = alive[x + step] = True
+        step += 1
+    return alive
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub (for a key), i, j, node, at, size, prints -> hub, node: those with a partner under the key."""
+    for t in whole_groups(batches, "hub", "i", "j"):
+        hub, i, j, size = (t.column(c).to_numpy() for c in ("hub", "i", "j", "size"))
+        group = np.cumsum(np.append(True, (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        order = np.lexsort((size, group))
+        words = t.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)[order].T.copy()
+        order = order[near_partners(group[order], size[order], t.column("at").to_numpy()[order], (i != j)[order], words)]
+        if len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(hub[order]), pa.array(t.column("node").to_numpy()[order])], ["hub", "node"])
+
+
+def near_keys(signed: DataFrame, keyed: DataFrame) -> DataFrame:
+    """keyed: node, band -> those under which the text has a partner of fitting size that differs in few bits."""
+    need = keyed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = keyed.join(need, "band").groupBy("node").agg(F.collect_list(F.struct((F.lit(-1) - F.col("band")).alias("hub"), "blocks")).alias("under"))
+    own = own.join(signed.select("node", "size", "prints"), "node")  # a row for each text, however many its keys
+    rows = own.select("node", "size", "prints", F.explode("under").alias("u")).select("u.hub", "u.blocks", "node", "size", "prints")
+    found = _by_blocks(rows).mapInArrow(_near, "hub long, node long").distinct()
+    return checkpoint(found.select("node", (F.lit(-1) - F.col("hub")).alias("band")))
+
+
+def neighbourhoods(signed: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    """-> hub, node: distinct; two nodes that meet by pigeonring (or under one of the keys, node and band) share a hub."""
+    keyed = ring_keys(signed) if keyed is None else keyed
     met = keyed.groupBy("band").agg(F.count("*").alias("n"))
     own = keyed.join(met, "band").groupBy("node").agg(F.sum("n").alias("met"), F.collect_list("band").alias("bands"))
     keyed = checkpoint(own.select("node", "met", F.explode("bands").alias("band")))
@@ -179,7 +226,11 @@ def _large(rows: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
     """rows: hub, node, size, others -> a row for each task (hub, i, j) that takes block i with block j; the hub goes to every task."""
-    rows = rows.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a plain join, which Spark can split
+    return _by_blocks(rows.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))  # a plain join, which Spark can split
+
+
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    """_dealt of rows that hold the blocks of their hub."""
     rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
     mine = F.transform(each, lambda j: F.struct(F.least(F.col("at"), j).alias("i"), F.greatest(F.col("at"), j).alias("j")))
@@ -228,24 +279,6 @@ class _Block:
         return h, found[found != h]
 
 
-def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in sorted_groups(batches, "hub", "i", "j"):
-        g = _Block(t)
-        h, found = g.with_hub()
-        alive = np.zeros(len(g.node), bool)
-        alive[found] = True
-        if len(found):
-            alive[h] = True
-        for x in range(len(g.node)):
-            found = g.partners(x)
-            if len(found):
-                alive[x] = True
-                alive[found] = True
-        if alive.any():
-            nodes = g.node[alive]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), g.hub)), pa.array(nodes)], ["hub", "node"])
-
-
 def _forest(g: _Block) -> list[tuple[int, int]]:
     """Links (rows) that join whatever the similarity joins, among the pairs of this task and those with the hub."""
     starts = g.sets.offsets.to_numpy()
@@ -309,15 +342,14 @@ def _perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """-> a, b (nodes): links whose components are those of all pairs of similarity SIMILARITY or more."""
-    rows = neighbourhoods(signed).join(signed.select("node", "size", "prints"), "node")
-    alive = checkpoint(_dealt(rows, _large(rows)).mapInArrow(_alive, "hub long, node long").distinct())
-    wanted = alive.select("node").distinct().join(signed.select("node", "key", "best"), "node")
+    near = neighbourhoods(signed, near_keys(signed, ring_keys(signed)))
+    wanted = near.select("node").distinct().join(signed.select("node", "key", "best"), "node")
     wanted = wanted.select("node", _row_key(F.col("key"), F.col("best.id")).alias("at"))
     text = F.coalesce(text_col, F.lit(""))
     texts = docs.select(_row_key(F.md5(text), F.col(id_col)).alias("at"), text.alias("text"))
     texts = _perhaps_in(texts, wanted).join(wanted, "at").dropDuplicates(["at"])
     sets = texts.select("node", "text").mapInArrow(_sets, "node long, set array<long>")
-    rows = alive.join(signed.select("node", "size", "prints"), "node")
+    rows = near.join(signed.select("node", "size", "prints"), "node")
     return checkpoint(_dealt(rows.join(sets, "node"), _large(rows)).mapInArrow(_linked, "a long, b long"))
 
 

@@ -127,3 +127,36 @@ def test_majorities_count_as_one_print_alone():
     for n in (0, 1, 2, 3, 4, 64, 511, 512, 1500):
         hashes = simhash.shingle_hashes(" ".join(f"w{rng.randrange(10**7)}" for _ in range(n)), 1)
         assert simhash.majorities(hashes, 20).tolist() == [simhash.majority(simhash.mixed(hashes, k)) for k in range(20)]
+
+
+def test_near_dedup_rows_do_not_grow_with_groups_of_less_similar_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = words(100)
+    texts = [" ".join(passage + words(60)) for _ in range(300)]  # 96 of 216 shingles in common
+    near = [" ".join([*texts[i].split()[:-3], *words(3)]) for i in range(0, 60, 3)]
+    d = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    rows, large = [], near_copies._large
+    monkeypatch.setattr(near_copies, "_large", lambda df: rows.append(df.count()) or large(df))
+    for block in (4096, 7):  # one block, and many
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+        assert {r.doc_id for r in near_copies.keep_representatives(d).collect()} == set(brute_classes(texts + near)) == set(range(300))
+    assert rows and max(rows) <= 200  # 6,958 before keys were pruned
+
+
+def test_near_keys_keep_all_similar_pairs_that_meet(spark, monkeypatch):
+    texts = some_texts(random.Random(8), 3, 25, 90) + some_texts(random.Random(2), 2, 25, 30)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_copies.signatures(d, "doc_id", "text")
+    keyed = near_copies.ring_keys(signed)
+    of = {r.best.id: r.node for r in signed.collect()}
+    sets = {node: set(near_copies.shingle_set(texts[i]).tolist()) for i, node in of.items()}
+    met = {}
+    for r in keyed.collect():
+        met.setdefault(r.band, set()).add(r.node)
+    similar = lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+    want = {(band, x) for band, g in met.items() for x in g if any(x != y and similar(x, y) for y in g)}
+    for block in (4096, 3):
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+        got = [(r.band, r.node) for r in near_copies.near_keys(signed, keyed).collect()]
+        assert len(set(got)) == len(got) and want <= set(got) <= {(band, x) for band, g in met.items() for x in g}
