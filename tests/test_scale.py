@@ -1,7 +1,13 @@
 """What must hold of the plans and of small blocks, so that nothing grows with the table on the driver or in one task."""
 
 
-from retort.operators import kernels
+import math
+import random
+
+import pytest
+
+from retort.functions import blocks
+from retort.operators import kernels, similarity
 
 
 def executed(df) -> str:
@@ -15,3 +21,43 @@ def test_atom_weights_sends_nothing_to_the_driver(spark):
     out = kernels.atom_weights(envs, weights)
     assert "Broadcast" not in executed(out)
     assert {(r.row_id, r.atom): r.weight for r in out.collect()} == {(0, 0): 0.25, (0, 1): 2.25, (0, 2): 0.5, (1, 0): 3.0}
+
+
+NAN = float("nan")
+#: Distances of two vectors in plain Python.
+BRUTE = {
+    "euclidean": math.dist, "sqeuclidean": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)), "manhattan": lambda a, b: sum(abs(x - y) for x, y in zip(a, b)), "chebyshev": lambda a, b: max(abs(x - y) for x, y in zip(a, b)),
+    "cosine": lambda a, b: 1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), "hamming": lambda a, b: sum(x != y for x, y in zip(a, b)) / len(a),
+    "jaccard": lambda a, b: 1 - sum(x != 0 and y != 0 for x, y in zip(a, b)) / sum(x != 0 or y != 0 for x, y in zip(a, b)), "canberra": lambda a, b: sum(abs(x - y) / (abs(x) + abs(y)) for x, y in zip(a, b) if x or y),
+}
+
+
+@pytest.mark.parametrize("metric", BRUTE)
+def test_named_neighbors_in_blocks(spark, monkeypatch, metric):
+    """Small blocks, many ties; a task of two blocks gives its nearest only, never its pairs."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 24 * 5)
+    rng = random.Random(1)
+    v = [[float(rng.randint(-2, 2)), float(rng.randint(0, 2)), rng.choice((0.5, 1.5))] for _ in range(41)]
+    d = spark.createDataFrame([(i, x, f"n{i}") for i, x in enumerate(v)], "row_id long, vector array<float>, name string")
+    for radius in (None, 0.75):
+        out = similarity.named_neighbors(d.where("row_id % 4 = 0"), d, 3, metric, radius=radius)
+        plan = executed(out)
+        assert "CartesianProduct" in plan and "MapInArrow" in plan and "HashJoin" not in plan and "MergeJoin" not in plan
+        want = {}
+        for q in range(0, 41, 4):
+            near = sorted((BRUTE[metric](v[q], x), t) for t, x in enumerate(v))
+            near = near[:3] if radius is None else [x for x in near if x[0] <= radius]
+            want |= {(q, k): (f"n{t}", pytest.approx(e, abs=1e-12)) for k, (e, t) in enumerate(near, 1)}
+        got = {(r.q_id, r["rank"]): (r.name, r.distance) for r in out.collect()}
+        if metric in ("cosine", "canberra", "euclidean"):  # the last bit may order equal ones
+            assert [(k, e) for k, (_, e) in sorted(got.items())] == [(k, e) for k, (_, e) in sorted(want.items())]
+        else:
+            assert got == want
+
+
+def test_named_neighbors_of_odd_vectors(spark):
+    """Zero vectors are compared like others, NaN is farthest; neither is left out."""
+    v = [[0.0, 0.0], [1.0, 0.0], [NAN, 1.0], [3.0, 0.0], [0.0, 4.0]]
+    d = spark.createDataFrame([(i, x, f"n{i}") for i, x in enumerate(v)], "row_id long, vector array<double>, name string")
+    got = [(r.q_id, r["rank"], r.name) for r in similarity.named_neighbors(d.where("row_id IN (0, 1, 4)"), d, 5, "manhattan").orderBy("q_id", "rank").collect()]
+    assert got == [(q, k, f"n{t}") for q, near in ((0, (0, 1, 3, 4, 2)), (1, (1, 0, 3, 4, 2)), (4, (4, 0, 1, 3, 2))) for k, t in enumerate(near, 1)]
