@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from retort.functions import blocks
 from retort.operators import kernels, similarity
@@ -61,3 +62,65 @@ def test_named_neighbors_of_odd_vectors(spark):
     d = spark.createDataFrame([(i, x, f"n{i}") for i, x in enumerate(v)], "row_id long, vector array<double>, name string")
     got = [(r.q_id, r["rank"], r.name) for r in similarity.named_neighbors(d.where("row_id IN (0, 1, 4)"), d, 5, "manhattan").orderBy("q_id", "rank").collect()]
     assert got == [(q, k, f"n{t}") for q, near in ((0, (0, 1, 3, 4, 2)), (1, (1, 0, 3, 4, 2)), (4, (4, 0, 1, 3, 2))) for k, t in enumerate(near, 1)]
+
+
+def fingerprints(spark, n=83):
+    """Two to three words each, a few empty ones, some equal ones."""
+    rng = random.Random(2)
+    bits = [sorted({rng.choice((0, 1, 2, 3, 63, 64, 65, 127, 140)) for _ in range(rng.randint(0, 7))}) if i % 9 else [] for i in range(n)]
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    return bits, sim, spark.createDataFrame(list(enumerate(bits)), "row_id long, bits array<int>")
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(similarity, "_AT_ONCE_BITS", 5)
+    monkeypatch.setattr(similarity, "LEAST_ROWS", 4)
+    monkeypatch.setattr(similarity, "_BATCH", 3)
+
+
+def test_self_similarity_is_added_up_without_its_matrix(spark, small_blocks):
+    bits, sim, f = fingerprints(spark)
+    out = similarity.similarity_totals(f, f, 0.4)
+    assert "CartesianProduct" in executed(out)
+    want = {i: (pytest.approx(sum(sim(a, b) for b in bits)), sum(sim(a, b) > 0.4 for j, b in enumerate(bits) if j != i)) for i, a in enumerate(bits)}
+    assert {r.q_id: (r.total, r.n_near) for r in out.collect()} == want
+    other = f.select("row_id", F.expr("transform(bits, b -> b + 1)").alias("bits"))  # the same ids on other rows
+    want = {i: sum(sim(a, [y + 1 for y in b]) > 0.4 for j, b in enumerate(bits) if j != i) for i, a in enumerate(bits)}
+    assert {r.q_id: r.n_near for r in similarity.similarity_totals(f, other, 0.4).collect()} == want
+
+
+def test_matrix_repeats_and_broadcasts_nothing(spark, monkeypatch):
+    bits, sim, f = fingerprints(spark)
+    want = {(i, j): pytest.approx(sim(a, b)) for i, a in enumerate(bits) for j, b in enumerate(bits) if i % 5 == 0}
+    for most in (64, 2):  # as words, and as arrays
+        monkeypatch.setattr(similarity, "_MOST_WORDS", most)
+        out = similarity.to_training(f.where("row_id % 5 = 0"), f, block_rows=10)
+        plan = executed(out)
+        assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+        assert {(r.q_id, r.t_id): r.value for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("k", [1, 3, 30, None])
+def test_neighbours_of_many_blocks(spark, small_blocks, monkeypatch, k):
+    """Few neighbours come from pairs of blocks; many are ranked a query at a time, without a shuffle of the matrix."""
+    monkeypatch.setattr(similarity, "MANY", 20)
+    bits, sim, f = fingerprints(spark)
+    out = similarity.tanimoto_knn(f.where("row_id % 5 < 2"), f, k)
+    assert ("Window" in executed(out)) == (k in (1, 3))
+    want = {}
+    for q in range(len(bits)):
+        if q % 5 < 2:
+            near = sorted((-sim(bits[q], b), t if k == 1 else -t) for t, b in enumerate(bits))[:k]
+            want |= {(q, i): (abs(t), pytest.approx(-s)) for i, (s, t) in enumerate(near, 1)}
+    assert {(r.q_id, r["rank"]): (r.t_id, r.similarity) for r in out.collect()} == want
+
+
+def test_pairs_by_blocks_of_many_words(spark, small_blocks):
+    bits, sim, f = fingerprints(spark)
+    for t in (0.3, 0.5, 1.0):
+        want = {(i, j): pytest.approx(sim(a, b)) for i, a in enumerate(bits) for j, b in enumerate(bits) if i < j and sim(a, b) >= t}
+        out = similarity.tanimoto_pairs(f, t, "blocks")
+        assert "CartesianProduct" in executed(out)
+        assert {(r.a, r.b): r.sim for r in out.collect()} == want
