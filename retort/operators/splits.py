@@ -161,18 +161,25 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 THRESHOLDS = [datetime(1998, 1, 1), datetime(1997, 1, 1), datetime(2000, 6, 15)]
 
 
-def _summary(splits: DataFrame) -> DataFrame:
-    s = splits.groupBy("split_id", "role").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"), F.sum("row_id").alias("sum_id"))
+#: Rows whose distinct ids one task holds.
+COUNTED_ROWS = 250_000
+
+
+def _summary(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Counts of splits of rows. Ids compress so well that partitions sized by bytes would hold more of them than a task can, so their number follows the rows (a few splits a row)."""
+    parts = -(-4 * rows.count() // COUNTED_ROWS)
+    d = splits.select("split_id", "role", "row_id").repartition(max(parts, 1), "split_id", "role", "row_id")
+    s = d.groupBy("split_id", "role").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"), F.sum("row_id").alias("sum_id"))
     return s.select(F.col("split_id").cast("long").alias("split_id"), "role", "n", "n_rows", "sum_id")
 
 
 def q_group_addition(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    return _summary(group_addition(o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("grp")), 2))
+    return _summary(_orders(spark, sf_dir), group_addition(o.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("grp")), 2))
 
 
 def q_time_threshold(spark, sf_dir):
-    return _summary(time_threshold(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("ts")), THRESHOLDS))
+    return _summary(_orders(spark, sf_dir), time_threshold(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("ts")), THRESHOLDS))
 
 
 def q_stratified(spark, sf_dir):
@@ -182,36 +189,36 @@ def q_stratified(spark, sf_dir):
 
 def _q_shuffle(mode: str):
     def q(spark, sf_dir):
-        return _summary(group_shuffle(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("grp")), 3, 0.25, mode))
+        return _summary(_orders(spark, sf_dir), group_shuffle(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("grp")), 3, 0.25, mode))
 
     return q
 
 
 def q_shuffle_train(spark, sf_dir):
     o = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("grp"))
-    return _summary(group_shuffle(o, 3, 0.25, "groups", train_size=0.5))
+    return _summary(_orders(spark, sf_dir), group_shuffle(o, 3, 0.25, "groups", train_size=0.5))
 
 
 def q_percentile_splits(spark, sf_dir):
     o = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("y"))
-    return _summary(percentile_stratified_kfold(o, 4, 5))
+    return _summary(_orders(spark, sf_dir), percentile_stratified_kfold(o, 4, 5))
 
 
 def q_max_splits(spark, sf_dir):
-    return _summary(group_addition(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("grp")), 1, 2))
+    return _summary(_orders(spark, sf_dir), group_addition(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("grp")), 1, 2))
 
 
 def q_years(spark, sf_dir):
     o = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("ts"))
-    return _summary(time_threshold_from_final(o, datetime(2000, 1, 1), 5, 2))
+    return _summary(_orders(spark, sf_dir), time_threshold_from_final(o, datetime(2000, 1, 1), 5, 2))
 
 
 def q_bootstrap(spark, sf_dir):
-    return _summary(bootstrap(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id")), 3))
+    return _summary(_orders(spark, sf_dir), bootstrap(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id")), 3))
 
 
 def q_repetition(spark, sf_dir):
-    return _summary(repetition(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id")), 4))
+    return _summary(_orders(spark, sf_dir), repetition(_orders(spark, sf_dir).select(F.col("o_orderkey").alias("row_id")), 4))
 
 
 def q_ordinal(spark, sf_dir):
