@@ -16,6 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomFo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.functions.shared import checkpoint
 from retort.operators import conformal, splits, stats
 from retort.operators.numbering import quantiles
 from retort.plans.plan import Plan, Step
@@ -84,10 +85,11 @@ class Ensemble:
     def fit(self, df: DataFrame) -> Ensemble:
         d = with_vector(df).cache()
         s = self.sampler(d.select("row_id")) if self.sampler else splits.bootstrap(d.select("row_id"), self.n_members, seed=self.seed)
-        s = s.where("role = 'train'").cache()
-        ids = sorted(r.split_id for r in s.select("split_id").distinct().collect())
-        self.models = [self.make(self.seed + i).fit(d.join(s.where(F.col("split_id") == i).select("row_id"), "row_id")) for i in ids]
-        s.unpersist(), d.unpersist()
+        # rows meet their draws once, for all members
+        drawn = d.join(s.where("role = 'train'").select("row_id", F.col("split_id").alias("_split")), "row_id").cache()
+        ids = sorted(r._split for r in drawn.select("_split").distinct().collect())
+        self.models = [self.make(self.seed + i).fit(drawn.where(F.col("_split") == i).drop("_split")) for i in ids]
+        drawn.unpersist(), d.unpersist()
         return self
 
     def members(self, df: DataFrame) -> DataFrame:
@@ -242,6 +244,7 @@ class CrossConformalClassifier:
     def fit(self, df: DataFrame) -> CrossConformalClassifier:
         d = with_vector(df)
         d = d.join(splits.stratified_folds(d.select("row_id", F.col("y").alias("stratum")), self.n_folds, self.seed).select("row_id", "fold"), "row_id")
+        d = checkpoint(d)  # every fold fits and calibrates on it
         self.parts = [
             ConformalClassifier(self.make(self.seed + k), self.n_classes, self.mondrian, self.nonconformity).fit(d.where(F.col("fold") != k)).calibrate(d.where(F.col("fold") == k)) for k in range(self.n_folds)
         ]
@@ -307,7 +310,7 @@ class CrossConformalRegressor:
     def fit(self, df: DataFrame) -> CrossConformalRegressor:
         d = with_vector(df)
         folds = splits.stratified_folds(splits.percentile_bins(d.select("row_id", "y"), self.n_groups), self.n_folds, self.seed)
-        d = d.join(folds.select("row_id", "fold"), "row_id")
+        d = checkpoint(d.join(folds.select("row_id", "fold"), "row_id"))  # every fold fits and calibrates on it
         self.parts = [ConformalRegressor(self.make(self.seed + k), self.n_bins).fit(d.where(F.col("fold") != k)).calibrate(d.where(F.col("fold") == k)) for k in range(self.n_folds)]
         return self
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.functions import blocks
-from retort.operators import cluster, kernels, similarity
+from retort.operators import cluster, kernels, models, similarity, splits
 
 
 def executed(df) -> str:
@@ -159,3 +159,28 @@ def test_leaders_without_pairs(spark, small_blocks, monkeypatch, walked):
     got = {r.row_id: (r.leader, r.cluster) for r in cluster.leader_picker(f, 0.5).collect()}
     assert got == {i: (x, leaders.index(x)) for i, x in want.items()}
     assert {r.leader for r in cluster.leader_picker(f.where("size(bits) = 0"), 0.5).collect()} == {0}
+
+
+def test_distinct_ids_of_a_task_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(splits, "COUNTED_ROWS", 50)
+    rows = spark.range(100).select(F.col("id").alias("row_id"))
+    out = splits._summary(rows, splits.repetition(rows, 4))
+    assert "REPARTITION_BY_NUM" in executed(out)
+    assert [(r.split_id, r.n, r.n_rows, r.sum_id) for r in out.orderBy("split_id").collect()] == [(k, 100, 100, 4950) for k in range(4)]
+
+
+def test_folds_and_draws_are_made_once(spark, monkeypatch):
+    """Each fold's model reads rows and folds that were written; each member's reads rows that have met their draws."""
+    seen = []
+
+    class Line(models.LinearRegression):
+        def fit(self, df, params=None):
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().fit(df, params)
+
+    d = spark.createDataFrame([(i, [float(i % 7)], float(i % 7 + i % 3)) for i in range(60)], "row_id long, features array<double>, y double")
+    models.CrossConformalRegressor(lambda _: Line(featuresCol="features", labelCol="y", solver="normal"), n_folds=3, n_groups=3).fit(d)
+    assert len(seen) == 3 and all("ExistingRDD" in p and "Join" not in p for p in seen)
+    seen.clear()
+    models.Ensemble(lambda _: Line(featuresCol="features", labelCol="y", solver="normal"), 3).fit(d)
+    assert len(seen) == 3 and all("InMemoryTableScan" in p.split("InMemoryRelation")[0] and "Join" not in p.split("InMemoryRelation")[0] for p in seen)
